@@ -113,6 +113,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and every other ASCII sign that is neither letter nor digit.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -148,8 +150,8 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each text's first word): words are runs without ASCII white space, A-Z folded.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of each text's first word): words are runs of bytes not marked in space, A-Z folded.
 
     Works through windows of a megabyte, so memory does not depend on how long one text is; a word that is cut by a
     window is put together again from the parts' polynomial sums.
@@ -161,7 +163,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts_at = []
     for lo in range(0, len(data), _WINDOW):
         d = data[lo : lo + _WINDOW]
-        word = ~_SPACE[d]
+        word = ~space[d]
         first = word & np.r_[True, ~word[:-1]]
         first |= word & cuts[lo : lo + len(d)]
         s = np.flatnonzero(first)

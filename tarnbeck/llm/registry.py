@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .piece_codec import op10_sentencepiece
+from .quality import op6_quality
 from .token_counts import op3_token_counts
 from .token_files import op5_token_files
+from .toxicity import op8_toxicity
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
+    "op8_toxicity": op8_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_warc": OP4_SQL}
