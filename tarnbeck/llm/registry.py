@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .personal_data import op7_personal_data
 from .piece_codec import op10_sentencepiece
 from .quality import op6_quality
 from .token_counts import op3_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
+    "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
