@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontamination import op9_decontamination
+from .near_duplicates import op2_near_duplicates
 from .personal_data import op7_personal_data
 from .piece_codec import op10_sentencepiece
 from .quality import op6_quality
@@ -11,12 +13,14 @@ from .toxicity import op8_toxicity
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE: dict[str, str] = {"op4_warc": OP4_SQL}
