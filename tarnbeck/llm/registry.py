@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op9_decontamination
+from .fingerprints import op1_fingerprints
 from .near_duplicates import op2_near_duplicates
 from .personal_data import op7_personal_data
 from .piece_codec import op10_sentencepiece
@@ -13,6 +14,7 @@ from .toxicity import op8_toxicity
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
