@@ -148,7 +148,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, node, check) of each document; node is null where the set is empty."""
+    """(doc_id, version, n_shingles, node, check) of each document; version is a hash of its text, node is null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,9 +158,10 @@ def shingle_table(docs: DataFrame, seed: int) -> DataFrame:
                 for s in shingle_sets(b.column(1), WORDS):
                     i, c = set_id(s, seed) if len(s) else (None, None)
                     n.append(len(s)), ids.append(i), checks.append(c)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, ids, checks))], names=["doc_id", "n_shingles", "node", "check"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.int64()) for x in (n, ids, checks))], names=["doc_id", "version", "n_shingles", "node", "check"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
+    version = F.xxhash64(F.coalesce("text", F.lit(""))).alias("version")
+    return docs.select("doc_id", "text", version).mapInArrow(run, "doc_id long, version long, n_shingles long, node long, check long")
 
 
 def meetings(docs: DataFrame, seed: int, frequent: np.ndarray, buckets: int, salts: int = 1) -> DataFrame:
@@ -345,7 +346,7 @@ def across(chunks: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id long, text)."""
+    """(doc_id, version, n_shingles, component_id) of every row of docs (doc_id long, text); version is a hash of the text."""
     docs = docs.select("doc_id", "text")
     for seed in range(4):
         sizes = written(shingle_table(docs, seed), "shingles")
@@ -374,10 +375,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = verified(written(second, "second"), sets)
     if not more.isEmpty():
         named = written(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "named")
-    each = written(sizes.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("name")), "each")
+    each = written(sizes.join(named, "node", "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "node").alias("name")), "each")
     least = each.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("component_id"))
-    return each.join(least, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return each.join(least, "name", "left").select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "name")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the smallest key; rows that repeat key and text are one.
+
+    Documents without words are in no group and stay.
+    """
+    found = written(near_duplicates(docs), "groups")
+    first = found.where("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "version")).alias("k")).select("k.doc_id", "k.version")
+    kept = written(first.unionByName(found.where("name is null").select("doc_id", "version").distinct()), "kept").select(F.col("doc_id").isNull().alias("__nul"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("version").alias("__version"))
+    mine = docs.withColumns({"__nul": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__version": F.xxhash64(F.coalesce("text", F.lit("")))})
+    keys = ["__nul", "__id", "__version"]
+    return mine.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
