@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import event_queries
+
+QUERIES = {**event_queries.QUERIES}
+ORACLE = {**event_queries.ORACLE}
