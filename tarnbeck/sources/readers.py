@@ -35,7 +35,8 @@ def read_json_table(spark: SparkSession, path: str) -> DataFrame:
     """A JSON document that is a list of objects, or an object of objects, as a table; anything else has no rows."""
     raw = spark.read.text(path, wholetext=True).withColumn("value", F.trim("value"))
     rows = raw.select(F.explode(F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.map_values(F.from_json("value", "map<string,string>")))).alias("value")).where("value like '{%'")
-    return spark.read.json(rows)
+    # the reader infers a schema from strings only as an RDD
+    return spark.read.json(rows.rdd.map(lambda r: r[0]))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], schema=None, drop_bad: bool = True) -> DataFrame:
