@@ -41,6 +41,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, a written table, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def local_name(uri: str) -> str | None:
     """The plain path of a file: URI or path, else None."""
     u = urlparse(uri)

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 
 #: Positions that count, from the first to the last of each mask.
 MASKS = ("110111", "1101000011", "111011")
@@ -53,11 +53,6 @@ def seeds(hashes: Column, masks: tuple[str, ...]) -> Column:
     return bound(hashes, lambda w: F.concat(*(of(w, len(m) * 1000 + int(m, 2), m) for m in masks)))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; df should be a written table."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key, item, doc_start, doc_stop, item_start, n_equal, n_words): the aligned stretch of words in document and item.
 
