@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.functions.stats import nearest_ranks, percentile_bootstrap
-from tarnbeck.operators import conversations, frames, ledger, trials
+from tarnbeck.operators import conversations, frames, ledger, records, trials
 
 NOW = 1_707_000_000.0
 
@@ -182,6 +182,22 @@ def crosstab(spark, d):
     return frames.crosstab(trial_rows(spark, d).withColumn("kind", F.when(F.col("passed"), "pass").when(F.col("finished"), "fail").otherwise("error")), "rung", "kind", ["pass", "fail", "error"]).withColumnRenamed("pass", "n_pass").withColumnRenamed("fail", "n_fail").withColumnRenamed("error", "n_error")
 
 
+def gold_regrade(spark, d):
+    t = trial_rows(spark, d)
+    tasks = records.resolved(t.select("task").distinct(), t.where("task % 2 = 0").select("task", (F.col("task") % 3).alias("gold")).distinct(), t.where("task % 5 <> 0").select("task", (F.col("task") % 2).alias("gold")).distinct(), "task", "gold")
+    both = t.where("finished").join(tasks, "task")
+    return records.regraded_by_source(both, "rung", "source", F.col("passed"), F.coalesce(F.col("prediction") == F.col("gold"), F.lit(False)))
+
+
+def launch_records(spark, d):
+    e = events(spark, d).select("user_id", "event_id", "event_type", F.array("event_type", F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string"))).alias("ids"))
+    return records.merged_launches(e, "user_id", "event_id", ["event_type"], "ids").withColumn("ids", F.array_join("ids", ","))
+
+
+def stop_shares(spark, d):
+    return r6(records.stop_shares(trial_rows(spark, d).withColumn("stop", F.when(F.col("finished"), F.col("prediction").cast("string"))), "rung", "stop"), "share")
+
+
 SIGN = "CASE WHEN {n} > 0 THEN round(least(1.0, 2 * list_sum([exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2.0)) for i in range(0, CAST({k} AS BIGINT) + 1)])), 6) END"
 
 SPANS = f"""o AS (SELECT user_id, event_type, {SECONDS} AS t, lead({SECONDS}) OVER (PARTITION BY user_id ORDER BY {SECONDS}, event_id) AS nxt FROM events WHERE event_type IN ('signup', 'error', 'purchase')),
@@ -193,7 +209,7 @@ SELECT {by}, count(*) AS attempted, count(fraction) AS scored, sum(n)::BIGINT AS
 QUERIES = {f.__name__: f for f in (
     two_level_pass_rate, first_passing_rung_hist, monotonicity_sign_test, control_effect_paired, consistency_by_cell, ceiling, headroom_curve, control_grouping_sets, common_set_report,
     bootstrap_ci, retry_agreement, climb_gaps, climb_replay, marginality, distribution, describe_nearest_rank, ledger_intervals, ledger_spend, monitor_stall, monitor_error_share,
-    rung_scheduler, measured_fold, steps_per_second, repeat_guard, asof_last_view, running_columns, forward_fill, interpolation, ewm, moments, crosstab,
+    rung_scheduler, measured_fold, steps_per_second, repeat_guard, asof_last_view, running_columns, forward_fill, interpolation, ewm, moments, crosstab, gold_regrade, launch_records, stop_shares,
 )}
 
 ORACLE = {
@@ -234,4 +250,7 @@ ORACLE = {
         SELECT event_id, round(coalesce(v, a + (z - a) * (i - ia) / nullif(iz - ia, 0), a), 6) AS v FROM g""",
     "moments": "SELECT event_type, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurt, round(sem(value) * sqrt(count(value) / (count(value) - 1.0)), 6) AS sem FROM events GROUP BY event_type",
     "crosstab": f"WITH {TRIALS} SELECT rung, count(*) FILTER (passed) AS n_pass, count(*) FILTER (finished AND NOT passed) AS n_fail, count(*) FILTER (NOT finished) AS n_error FROM t GROUP BY rung",
+    "gold_regrade": f"WITH {TRIALS}, x AS (SELECT *, CASE WHEN task % 2 = 0 THEN task % 3 WHEN task % 5 <> 0 THEN task % 2 END AS gold, CASE WHEN task % 2 = 0 THEN 'current' WHEN task % 5 <> 0 THEN 'superseded' ELSE 'none' END AS source FROM t WHERE finished), y AS (SELECT *, coalesce(prediction = gold, false) AS ok FROM x) SELECT rung, source, count(*) AS n, count(*) FILTER (passed) AS old_passes, count(*) FILTER (ok) AS new_passes, count(*) FILTER (passed <> ok) AS flips FROM y GROUP BY ALL",
+    "launch_records": "WITH i AS (SELECT user_id, event_type AS id FROM events UNION SELECT user_id, 'k' || (event_id % 3) FROM events), u AS (SELECT user_id, string_agg(id, ',' ORDER BY id) AS ids FROM i GROUP BY user_id), f AS (SELECT user_id, arg_min(event_type, event_id) AS event_type, count(*) AS launches FROM events GROUP BY user_id) SELECT user_id, event_type, launches, ids FROM f JOIN u USING (user_id)",
+    "stop_shares": f"WITH {TRIALS}, c AS (SELECT rung, CASE WHEN finished THEN CAST(prediction AS VARCHAR) ELSE 'other' END AS stop, count(*) AS n FROM t GROUP BY ALL) SELECT rung, stop, n, round(n / sum(n) OVER (PARTITION BY rung), 6) AS share FROM c",
 }
