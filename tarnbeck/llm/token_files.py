@@ -14,8 +14,10 @@ text; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import new_file, shared_path, table, written
 
-TABLE_SIZE = 400_000
+#: Words that the table of one Python worker holds before it starts anew.
+TABLE_SIZE = 800_000
 #: Ids and documents that one row group holds at most.
 GROUP_IDS, GROUP_ROWS = 4_000_000, 20_000
 END = 1
@@ -44,13 +47,28 @@ class WordCodec(dict):
         probe = "it's A b.c, été\n\nx <|endoftext|> 12\tz"
         if self.library.encode(probe, add_special_tokens=False).ids != [i for w in probe.split() for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("this tokenizer's ids depend on more than single words")
+        from tokenizers import pre_tokenizers
+
+        # the sign that stands for each byte in the vocabulary, as the library itself writes it
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in set(kept)]
+        self.signs = {b: chr(256 + i) for i, b in enumerate(moved)}
+        if any(split.pre_tokenize_str(c)[0][0] != c.encode().decode("latin-1").translate(self.signs) for c in "azéßñÿ"):
+            raise ValueError("this tokenizer does not write bytes as signs")
+        self.merge = self.library.model.tokenize
 
     def __missing__(self, word: bytes) -> bytes:
         tail = word[-1:]
         if len(word) > 1 and tail in (b".", b",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[tail]
         else:
-            ids = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<i4").tobytes()
+            text = word.decode()
+            if text.isalpha() and max(text) < "\u0250" and text.islower() and is_normalized("NFC", text):
+                # one letter run that normalising leaves as it is: straight to the merges, bytes in the library's signs
+                ids = array("i", [t.id for t in self.merge(word.decode("latin-1").translate(self.signs))]).tobytes()
+            else:
+                ids = array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -118,8 +136,11 @@ def write_tokens(docs: DataFrame, path: str, to: str, key: str = "doc_id", text:
 
 def read_tokens(spark: SparkSession, to: str, files: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids): start counts the ids of all files and documents before."""
+    schema = f"`{key}` long, part int, local_start long, n_tokens long, ids array<int>"
+    if files.isEmpty():
+        return spark.createDataFrame([], schema).select(key, F.col("local_start").alias("start"), "n_tokens", "ids")
     before = files.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
-    rows = spark.read.schema(f"`{key}` long, part int, local_start long, n_tokens long, ids array<int>").parquet(to)
+    rows = spark.read.schema(schema).parquet(to)
     return rows.join(before, "part").select(key, (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
