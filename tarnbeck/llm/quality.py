@@ -79,7 +79,7 @@ def _margin(s: np.ndarray) -> np.ndarray:
 
 
 def _trained(rows: list[tuple[np.ndarray, float]], bits: int, seed: int, passes: int = 4) -> np.ndarray:
-    model, order = Ftrl(bits, l1=2.0), np.random.default_rng(seed)
+    model, order = Ftrl(bits, alpha=1.0, l1=2.0), np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(rows)):
             model.learn(rows[i][0], rows[i][1])

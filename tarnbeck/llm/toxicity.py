@@ -23,7 +23,7 @@ from .common import SIGNS, held_out, mix, table, texts_of, word_hashes, written
 
 BITS = 20
 #: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key).
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 16_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -43,7 +43,7 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
 class Ftrl:
     """Follow-the-regularised-leader with per-coordinate rates (McMahan et al., 2013); coordinate 2**bits is the bias."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -64,7 +64,7 @@ class Ftrl:
         return at, w[at]
 
 
-def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passes: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passes: int = 8, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The weights that are not zero, from rows (doc_id, text, label) with labels 0 and 1."""
     rows = rows.where("label is not null").select("doc_id", "text", F.col("label").cast("double").alias("label"))
     n = rows.count()
