@@ -3,8 +3,8 @@
 An agenda holds every adjacent pair of symbols whose join is a piece, ordered by the piece's score and then by place; the
 best pair is merged, its neighbours form new pairs, stale entries are passed over. Symbols that are no piece fall back to
 their bytes. A text falls apart where no piece of the vocabulary could ever join two neighbouring characters, so segments
-are encoded once and remembered in a table of bounded size. In every Arrow batch, all parts that were new to the table are
-encoded by the sentencepiece library as well, and a difference raises.
+are encoded once and remembered in a table of bounded size. In every Arrow batch, all parts with a segment that was new to the
+table are encoded by the sentencepiece library as well, and a difference raises.
 
 Nulls count as empty texts, which give no ids and decode to an empty text; repeated rows each give their row; columns of
 the input beside the named ones are carried, those called ids or decoded are replaced.
@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,84 +27,91 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Segments that the table of one Python worker holds before it starts anew.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 800_000
 _PART = re.compile(r" *[^ \n]+| +|\n")
 
 
 class PieceCodec(dict):
-    """Part of a text (spaces lead) -> its ids."""
+    """Part of a text (spaces lead) -> its ids as native 32-bit integers."""
 
     def __init__(self, path: str, size: int = TABLE_SIZE):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         m, n = self.library, self.library.get_piece_size()
-        self.pieces = {m.id_to_piece(i): (-m.get_score(i), i) for i in range(n) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i))}
-        self.byte = {m.id_to_piece(i): i for i in range(n) if m.is_byte(i)}
-        self.bytes = [self.byte.get(f"<0x{b:02X}>", m.unk_id()) for b in range(256)]
-        if any("\n" in p or re.search("[^▁]▁", p) for p in self.pieces):
+        plain = [i for i in range(n) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i))]
+        self.id = {m.id_to_piece(i): i for i in plain}
+        #: What the agenda is ordered by: the best score is the smallest number.
+        self.rank = {m.id_to_piece(i): -m.get_score(i) for i in plain}
+        byte = {m.id_to_piece(i): i for i in range(n) if m.is_byte(i)}
+        self.bytes = [byte.get(f"<0x{b:02X}>", m.unk_id()) for b in range(256)]
+        if any("\n" in p or re.search("[^▁]▁", p) for p in self.id):
             raise ValueError("pieces with inner spaces or line ends are not supported")
-        self.joins = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.size, self.new = size, []
+        self.joins = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.size, self.new, self.fresh = size, [], False
 
     def agenda(self, part: str) -> list[int]:
         """The ids of a part, spaces written as U+2581."""
-        symbols, pieces = list(part), self.pieces
+        symbols, rank = list(part), self.rank
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*pieces[p][:1], i, i + 1, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in pieces]
-        heapq.heapify(heap)
-        while heap:
-            _, i, j, p = heapq.heappop(heap)
-            if not symbols[i] or not symbols[j] or symbols[i] + symbols[j] != p or after[i] != j:
-                continue
-            symbols[i], symbols[j] = p, ""
-            after[i] = k = after[j]
-            if k >= 0:
+        heap = []
+        for i in range(n - 1):
+            p = symbols[i] + symbols[i + 1]
+            if p in rank:
+                heap.append((rank[p], i, p))
+        if heap:
+            heapq.heapify(heap)
+            before, after = list(range(-1, n)), list(range(1, n + 1))
+            symbols.append("")  # stands after the last one and joins nothing
+            while heap:
+                _, i, p = heapq.heappop(heap)
+                a, j = symbols[i], after[i]
+                if not a or j >= n or a + symbols[j] != p:
+                    continue  # one of the two has been merged since
+                symbols[i], symbols[j] = p, ""
+                after[i] = k = after[j]
                 before[k] = i
-                if (q := p + symbols[k]) in pieces:
-                    heapq.heappush(heap, (pieces[q][0], i, k, q))
-            h = before[i]
-            if h >= 0 and (q := symbols[h] + p) in pieces:
-                heapq.heappush(heap, (pieces[q][0], h, i, q))
+                if k < n and (q := p + symbols[k]) in rank:
+                    heapq.heappush(heap, (rank[q], i, q))
+                h = before[i]
+                if h >= 0 and (q := symbols[h] + p) in rank:
+                    heapq.heappush(heap, (rank[q], h, q))
         ids: list[int] = []
         for s in symbols:
             if s:
-                if s in pieces:
-                    ids.append(pieces[s][1])
-                else:
+                i = self.id.get(s)
+                if i is None:
                     ids.extend(self.bytes[b] for b in s.encode())
+                else:
+                    ids.append(i)
         return ids
 
-    def __missing__(self, part: str) -> list[int]:
-        if part == "\n" or len(part) == 1:
-            ids = self.agenda(part.replace(" ", "▁"))
+    def __missing__(self, part: str) -> bytes:
+        text, joins = part.replace(" ", "▁"), self.joins
+        cut = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joins]
+        if cut:
+            was, self.fresh = self.fresh, False
+            ids = b"".join([self[part[a:b]] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)])
+            fresh, self.fresh = self.fresh, was
         else:
-            text, joins = part.replace(" ", "▁"), self.joins
-            cut = [0, *(i + 1 for i in range(len(text) - 1) if text[i : i + 2] not in joins), len(text)]
-            if len(cut) == 2:
-                ids = self.agenda(text)
-            else:
-                ids = []
-                for a, b in zip(cut, cut[1:], strict=False):
-                    ids += self[text[a:b].replace("▁", " ")]
-        self.new.append(part)
+            ids, fresh = array("i", self.agenda(text)).tobytes(), True
+        if fresh:
+            self.fresh = True
+            self.new.append(part)
         if len(part) <= 64:
             self[part] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.__getitem__, _PART.findall(" " + text.replace("▁", " ")))))
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PART.findall(" " + text.replace("▁", " ")))) if text else b""
 
     def check(self) -> None:
-        """Holds the parts that are new since the last call against the library."""
+        """Holds the parts with segments that are new since the last call against the library."""
         whole = [p[1:] for p in self.new if p[0] == " " and len(p) > 1]
         for part, ids in zip(whole, self.library.encode(whole, num_threads=1), strict=True):
-            if ids != self[" " + part]:
+            if array("i", ids).tobytes() != self[" " + part]:
                 raise AssertionError(f"agenda and library differ on {part!r}")
-        self.new = []
+        self.new, self.fresh = [], False
         if len(self) > self.size:
             self.clear()
 
@@ -124,9 +132,12 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
-                ids = [c.encode(t) if t else [] for t in b.column("decoded").to_pylist()]
+                ids = [np.frombuffer(c.encode(t or ""), np.int32) for t in b.column("decoded").to_pylist()]
                 c.check()
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in rest), pa.array(ids, pa.list_(pa.int32())), pa.array(c.library.decode(ids) if ids else [], pa.string())], names=[*rest, "ids", "decoded"])
+                ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                decoded = [c.library.decode(x.tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in rest), lists, pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
 
     return src.mapInArrow(run, schema)
 
