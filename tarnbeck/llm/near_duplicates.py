@@ -12,8 +12,8 @@ The order puts blocks of frequent shingles last, frequent ones being those that
 this steers work only, results are the same with any choice. Keys travel as binary rows, one for each batch and bucket.
 
 Pairs that meet are verified twice: by the parity bits of a wide sketch (lower bound), then by the sets themselves. Groups of
-up to SMALL sets that share a key are verified pair by pair; larger ones along trees of bounded fan-out first, and then every
-pair that is still unconnected within them. So a group of thousands of copies costs pairs in proportion to its size.
+up to SMALL sets that share a key are verified pair by pair; larger ones against a few centres first, and then, as bit
+matrices, the pairs that are still unconnected. So a group of thousands of copies writes pairs in proportion to its size.
 
 Equal sets are one node. Nulls and texts without words are linked with nothing and are their own component; rows that repeat
 a key each give a row; a null key gives way to any other as a component's name; an empty table gives no rows.
@@ -30,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingle_sets, table, written
+from .common import components, mix, shingle_sets, small, table, written
 
 WORDS, SHARE = 5, 75
 #: Members up to which all pairs of a group are written down, and members of one chunk of a larger group.
 SMALL, CHUNK = 16, 512
+#: Orders that pick a group's centre, and members that meet as one block.
+CENTRES, BLOCK = 8, 1024
 #: Documents for each salt of a frequent key.
 SALT_DOCS = 1_000_000
 #: Shingles in a batch that is searched for repeated ones, and the repeats from which a shingle is frequent.
 BATCH_SHINGLES, FREQUENT = 6_000_000, 3
+#: Counts at which the second and third class of frequent shingles begin.
+COUNTS = (16, 256)
 #: Frequent shingles that are sent along at most; beyond it, the least frequent are left out.
 MAX_FREQUENT = 2_000_000
 KEYS_A_BUCKET = 2_000_000
@@ -76,7 +80,7 @@ def set_id(s: np.ndarray, seed: int) -> tuple[int, int]:
     return int(mix(np.array([a])).view(np.int64)[0]), int(np.array([b], np.uint64).view(np.int64)[0])
 
 
-def block_keys(s: np.ndarray, level: int, frequent: np.ndarray) -> np.ndarray:
+def block_keys(s: np.ndarray, level: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The join keys of a set among the pairs of a level."""
     d, p = plan(level)
     with np.errstate(over="ignore"):
@@ -86,25 +90,26 @@ def block_keys(s: np.ndarray, level: int, frequent: np.ndarray) -> np.ndarray:
         block = block[order]
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         value = np.bitwise_xor.reduceat(mix(h[order] + _C), first)
-        rare = ~member(s[order], frequent)
-        rare = np.logical_or.reduceat(rare, first)
+        kind = np.minimum.reduceat(classes(s[order], frequent), first)
         keys = mix(value ^ mix(block[first].astype(np.uint64) * _C + np.uint64(level)))
-        # one bit tells rare blocks from others, so the order is a property of the key
-        keys = (keys >> np.uint64(1)) | ((~rare).astype(np.uint64) << np.uint64(63))
+        # the first two bits are the class of the block's rarest element, so the order is a property of the key
+        keys = (keys >> np.uint64(2)) | (kind << np.uint64(62))
         if len(keys) <= d:
             return np.r_[keys, mix(np.array([level], np.uint64) * _C)]
         return np.partition(keys, d)[: d + 1]
 
 
-def member(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+def classes(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for elements that are not frequent, else 1 to 3 by how often they came up."""
+    known, n = frequent
     if not len(known):
-        return np.zeros(len(s), bool)
-    at = np.searchsorted(known, s)
-    return known[np.minimum(at, len(known) - 1)] == s
+        return np.zeros(len(s), np.uint64)
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return np.where(known[at] == s, n[at], 0).astype(np.uint64)
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that come up again within batches of BATCH_SHINGLES, over all documents; equal sets of a batch count once."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come up again within batches of BATCH_SHINGLES, over all documents, and their classes; equal sets of a batch count once."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -144,7 +149,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         if held > MAX_FREQUENT:
             least = n + 1
             break
-    return np.sort(found.where(F.col("n") >= least).select("s").toArrow().column(0).to_numpy().view(np.uint64))
+    kept = found.where(F.col("n") >= least).toArrow()
+    known, n = kept.column(0).to_numpy().view(np.uint64), kept.column(1).to_numpy()
+    order = np.argsort(known)
+    return known[order], (1 + np.searchsorted(COUNTS, n[order], side="right")).astype(np.uint8)
 
 
 def shingle_table(docs: DataFrame, seed: int) -> DataFrame:
@@ -164,7 +172,7 @@ def shingle_table(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", "text", version).mapInArrow(run, "doc_id long, version long, n_shingles long, node long, check long")
 
 
-def meetings(docs: DataFrame, seed: int, frequent: np.ndarray, buckets: int, salts: int = 1) -> DataFrame:
+def meetings(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, np.ndarray], buckets: int, salts: int = 1) -> DataFrame:
     """(a, b, gid, members): pairs that share a key, and larger groups in chunks of members with a null a.
 
     Keys of frequent blocks are dealt out over `salts` buckets each; such keys always come as chunks.
@@ -178,7 +186,7 @@ def meetings(docs: DataFrame, seed: int, frequent: np.ndarray, buckets: int, sal
         def packed(nodes: list[int], counts: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
             k = np.concatenate(keys)
             own = np.repeat(np.arange(len(nodes)), counts)
-            salt = np.where(k >> np.uint64(63), own % salts, 0).astype(np.uint64)
+            salt = np.where(k >> np.uint64(62), own % salts, 0).astype(np.uint64)
             bucket = ((k + salt * np.uint64(7919)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -232,7 +240,7 @@ def meetings(docs: DataFrame, seed: int, frequent: np.ndarray, buckets: int, sal
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             pairs: list[np.ndarray] = []
-            split = (key[start] >> np.uint64(63)).astype(bool) & (salts > 1)
+            split = (key[start] >> np.uint64(62)).astype(bool) & (salts > 1)
             for g in range(2, SMALL + 1):
                 at = start[(size == g) & ~split]
                 if len(at):
@@ -261,8 +269,8 @@ def meetings(docs: DataFrame, seed: int, frequent: np.ndarray, buckets: int, sal
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements that fall on each bit; a power of two of bits, four for each element at least."""
-    bits = 1 << max(8, int(4 * len(s) - 1).bit_length())
+    """Parity of the elements that fall on each bit; a power of two of bits, eight for each element at least."""
+    bits = 1 << max(8, int(8 * len(s) - 1).bit_length())
     with np.errstate(over="ignore"):
         at = (mix(s * _C + np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little")
@@ -286,13 +294,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= SHARE * (len(a) + len(b) - common)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """(node, n, sketch, elements) of wanted (node, doc_id), made from the documents again."""
-    asked = small(written(wanted.select("doc_id", F.col("node").alias("asked")), "asked"))
+    asked = small(written(wanted.select("doc_id", F.col("node").alias("asked")), "asked"), BROADCAST_ROWS)
     src = docs.select("doc_id", "text").join(asked, "doc_id").select("asked", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,24 +329,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return kept(near, "elements", lambda x, y, n, m: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
 
 
-def across(chunks: DataFrame, named: DataFrame) -> DataFrame:
-    """(a, b): pairs of a group's members that lie in different components."""
-    each = chunks.select("gid", "chunk", F.explode("members").alias("node")).join(named, "node", "left").select("gid", "chunk", "node", F.coalesce("component", "node").alias("component"))
-    open_ = each.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    rest = each.join(open_, "gid").groupBy("gid", "chunk").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("names"))
-    rest = written(rest, "open")
-    other = rest.select("gid", F.col("chunk").alias("chunk_b"), F.col("nodes").alias("nodes_b"), F.col("names").alias("names_b"))
-    both = rest.join(other, "gid").where("chunk <= chunk_b").select("nodes", "names", "nodes_b", "names_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, p, y, q in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                x, p, y, q = (np.array(v, np.int64) for v in (x, p, y, q))
-                i, j = np.nonzero(p[:, None] != q[None, :])
-                u, v = np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+def across(groups: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs within a group (head, node) that lie in different components and that their sketches allow.
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    A group's members are dealt into blocks, and every two blocks meet in one task: memory is bounded by a block, and pairs
+    are tested as bit matrices; only those that may be linked are written.
+    """
+    each = groups.join(named, "node", "left").select("head", "node", F.coalesce("component", "node").alias("component"))
+    size = each.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("head", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    rest = each.join(size, "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rest = rest.join(sets.select("node", "n", "sketch"), "node")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = rest.select("head", "node", "component", "n", "sketch", "block", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, n, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "block"))
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        raw = table.column("sketch").to_pylist()
+        width = min(map(len, raw))
+        bits = np.zeros((len(raw), width), np.uint8)
+        for i, r in enumerate(raw):
+            v = np.frombuffer(r, np.uint8)
+            while len(v) > width:
+                v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+            bits[i] = v
+        bits = bits.view(np.uint64)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out_a, out_b = [], []
+        for i in left:
+            j = right[right > i] if x == y else right
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= SHARE * np.maximum(n[j], n[i]))]
+            if len(j):
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                j = j[differ * (100 + SHARE) <= (100 - SHARE) * (n[j] + n[i])]
+                out_a.append(np.minimum(node[j], node[i])), out_b.append(np.maximum(node[j], node[i]))
+        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(cat(out_a)), "b": pa.array(cat(out_b))})
+
+    return met.groupBy("head", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -359,9 +383,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = written(meetings(docs, seed, frequent_shingles(docs), buckets, -(-max(1, n_docs) // SALT_DOCS)), "met")
     pairs = written(met.where("a is not null").select("a", "b").distinct(), "pairs")
     chunks = written(met.where("a is null").groupBy("gid", "members").agg(F.lit(1)).select("gid", F.xxhash64("members").alias("chunk"), "members"), "chunks")
-    heads = chunks.groupBy("gid").agg(F.min(F.get("members", F.lit(0))).alias("b"))
-    trees = chunks.select(F.get("members", F.lit(0)).alias("a"), F.explode("members").alias("b")).unionByName(chunks.join(heads, "gid").select(F.get("members", F.lit(0)).alias("a"), "b"))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(trees.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")).distinct()
+    # each group is tied to a member that a hash picks, one of CENTRES orders for each group, so a family gets several centres
+    salt = F.pmod("gid", F.lit(CENTRES))
+    pick = F.array_min(F.transform("members", lambda v: F.struct(F.xxhash64(salt, v).alias("h"), v.alias("v"))))
+    heads = chunks.groupBy("gid").agg(F.min(pick)["v"].alias("a"), F.min(F.array_min("members")).alias("head"))
+    members = chunks.join(heads, "gid").select("head", "a", F.explode("members").alias("b"))
+    groups = written(members.select("head", F.col("b").alias("node")).distinct(), "groups-by-head")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")).distinct()
     first = written(first, "first")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(chunks.select(F.explode("members").alias("node"))).distinct()
     reps = sizes.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -371,7 +399,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "named")
     side = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    second = apart.unionByName(across(chunks, named)).distinct().join(first, ["a", "b"], "left_anti")
+    second = apart.unionByName(across(groups, named, sets)).distinct().join(first, ["a", "b"], "left_anti")
     more = verified(written(second, "second"), sets)
     if not more.isEmpty():
         named = written(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "named")
