@@ -7,7 +7,8 @@ The sanitisation treats every value found (an address, a card number, ...) as a
 counts the documents of each term, of each entity, and of both together; a term t discloses an entity e by the pointwise
 mutual information log2(n(t,e) * N / (n(t) * n(e))), which reaches e's information log2(N / n(e)) where the term occurs only
 with e. Terms whose share of that information is `disclosure` or more, in at least `support` documents with e, disclose it;
-in documents with e they are spans of kind "term" and are removed, base spans are generalised to their kind.
+in documents with e they are spans of kind "term", unless a base span holds them, and are removed; base spans are generalised
+to their kind.
 Terms are words of four letters or more, A-Z folded.
 
 Everything runs in DataFrame functions. Offsets come from the lengths of matches and of the text between them, summed up in
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -35,6 +36,8 @@ PATTERNS = {
 #: What a document must hold for a match of the kind to be possible.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 DISCLOSURE, SUPPORT = 0.95, 4
+#: Terms that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 SPAN = "array<struct<kind:string,start:long,stop:long,value:string>>"
 
 
@@ -109,9 +112,10 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str, disclosure: float =
         .groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     )
     both = written(both, "together")
-    wanted = both.select("term").distinct()
+    # only these terms' documents are counted: filtered before the count while they are few enough to send along
+    wanted = small(written(both.select("term").distinct(), "terms"), BROADCAST_ROWS)
     every = docs.select(F.explode(terms(F.col(text))).alias("t")).select(F.xxhash64("t").alias("term"))
-    counts = every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    counts = every.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     info = F.log2(F.lit(float(n)) / F.col("n_e"))
     mutual = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
     return both.join(counts, "term").join(known, "entity").where((info > 0) & (mutual >= disclosure * info)).select("entity", "term")
@@ -131,7 +135,8 @@ def with_spans(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSU
     told = found.select("row", F.explode("entities").alias("entity")).distinct().join(rules, "entity").groupBy("row").agg(F.collect_set("term").alias("__terms"))
     mine = src.withColumn("__row", F.when(F.size("spans") > 0, row))
     out = mine.where("__row is null").withColumn("__terms", F.lit(None).cast("array<long>")).unionByName(mine.where("__row is not null").join(told, mine["__row"] == told["row"], "left").drop("row"))
-    extra = F.when(F.size("__terms") > 0, term_spans(F.coalesce(F.col(text), F.lit("")), F.col("__terms"))).otherwise(F.array().cast(SPAN))
+    outside = lambda s: ~F.exists("spans", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
+    extra = F.when(F.size("__terms") > 0, F.filter(term_spans(F.coalesce(F.col(text), F.lit("")), F.col("__terms")), outside)).otherwise(F.array().cast(SPAN))
     return out.select(*rest, F.concat("spans", extra).alias("spans"))
 
 
