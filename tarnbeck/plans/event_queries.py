@@ -87,7 +87,7 @@ def retry_agreement(spark, d):
 
 
 def climb_gaps(spark, d):
-    return trials.climb_gaps(trial_rows(spark, d).where("event_id % 9 < 2"))
+    return trials.climb_gaps(trial_rows(spark, d).where("not (rung = 'L1' and has_reference)"))
 
 
 def climb_replay(spark, d):
@@ -228,7 +228,7 @@ ORACLE = {
     "control_grouping_sets": f"WITH {TRIALS}, c AS (SELECT task, has_reference, max(passed) AS ok FROM t WHERE finished GROUP BY ALL) SELECT has_reference, count(*) AS attempted, count(*) FILTER (ok) AS rescued FROM c GROUP BY GROUPING SETS ((), (has_reference))",
     "common_set_report": f"WITH {TRIALS}, h AS (SELECT task FROM t WHERE finished AND rung IN ('L1', 'L2', 'L3') AND task % 7 <> 0 GROUP BY task HAVING count(DISTINCT rung) = 3), u AS (SELECT * FROM t WHERE rung IN ('L1', 'L2', 'L3') AND task IN (SELECT task FROM h)), " + STATS.format(by="rung", src="u"),
     "retry_agreement": f"WITH {TRIALS}, c AS (SELECT task, count(DISTINCT prediction) AS a, count(*) AS n, max(passed) AS ok FROM t WHERE finished GROUP BY task) SELECT CASE WHEN n < 2 THEN 'single' WHEN a > 1 THEN 'disagree' WHEN ok THEN 'agree right' ELSE 'agree wrong' END AS outcome, count(*) AS tasks FROM c GROUP BY 1",
-    "climb_gaps": f"""WITH {TRIALS.replace('FROM k)', 'FROM k WHERE event_id % 9 < 2)')}, {WIDE}, x AS (SELECT DISTINCT task FROM t), y AS (SELECT x.task, l1, l2, l3, l4, coalesce(l1, 0) > 0.5 AS p1, coalesce(l2, 0) > 0.5 AS p2, coalesce(l3, 0) > 0.5 AS p3, coalesce(l4, 0) > 0.5 AS p4 FROM x LEFT JOIN w USING (task))
+    "climb_gaps": f"""WITH {TRIALS.replace('t AS (', 't0 AS (')}, t AS (SELECT * FROM t0 WHERE NOT (rung = 'L1' AND has_reference)), {WIDE}, x AS (SELECT DISTINCT task FROM t), y AS (SELECT x.task, l1, l2, l3, l4, coalesce(l1, 0) > 0.5 AS p1, coalesce(l2, 0) > 0.5 AS p2, coalesce(l3, 0) > 0.5 AS p3, coalesce(l4, 0) > 0.5 AS p4 FROM x LEFT JOIN w USING (task))
         SELECT task, 'L1' AS gap FROM y WHERE l1 IS NULL AND (p2 OR p3 OR p4) UNION ALL SELECT task, 'L2' FROM y WHERE l2 IS NULL AND NOT p1 AND (p3 OR p4) UNION ALL SELECT task, 'L3' FROM y WHERE l3 IS NULL AND NOT (p1 OR p2) AND p4""",
     "climb_replay": f"WITH {TRIALS}, s AS (SELECT task, min(rung) AS stop FROM t WHERE finished AND passed GROUP BY task) SELECT rung, count(*) AS trials FROM t LEFT JOIN s USING (task) WHERE rung <= coalesce(stop, 'L4') GROUP BY rung",
     "marginality": f"WITH {TRIALS}, {WIDE} SELECT task, round(abs(l1 - 0.5), 6) AS marginality FROM w WHERE l1 IS NOT NULL",

@@ -34,7 +34,7 @@ def overlap_share(spark, d):
 def file_set_overlap(spark, d):
     files = lambda df, p: df.groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit(p), F.col("l_returnflag"), F.lit(".csv"))).alias("files")).select("l_orderkey", T.file_key(F.col("files")).alias("k"))
     li = read(spark, d, "lineitem")
-    return overlap.overlap_share(files(li.where("l_orderkey % 2 = 0"), "a/"), files(li.where("l_orderkey % 2 = 1 and l_linenumber <= 2"), "b/X/"), "k", "files").withColumn("share", F.round("share", 6))
+    return overlap.overlap_share(files(li.where("l_linestatus = 'F'"), "a/"), files(li.where("l_linestatus = 'O'"), "b/X/"), "k", "files").withColumn("share", F.round("share", 6))
 
 
 def classify_answers(spark, d):
@@ -127,7 +127,7 @@ def upsert_sizes(spark, d):
 
 
 def carried_rows(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey <= 500").select("o_orderkey", "o_custkey")
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
     return pool.carried(o, read(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "o_orderkey")
 
 
@@ -164,7 +164,7 @@ def correlations(spark, d):
 
 def band_join(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("price"))
-    p = read(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", F.floor("p_retailprice").cast("long").alias("lo")).withColumn("hi", F.col("lo") + 50)
+    p = read(spark, d, "part").select("p_partkey", F.floor("p_retailprice").cast("long").alias("lo")).withColumn("hi", F.col("lo") + 50)
     return frames.range_join(o, p, "price", "lo", "hi", 100).groupBy("p_partkey").agg(F.count("*").alias("orders"))
 
 
@@ -200,7 +200,7 @@ ORACLE = {
         b AS (SELECT *, floor(x) AS base, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, s) AS r FROM e), q AS (SELECT s, least(size, base + CASE WHEN r <= 101 - sum(base) OVER () THEN 1 ELSE 0 END) AS quota FROM b),
         k AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('7:' || o_orderpriority || ':' || o_orderkey), o_orderkey) AS n FROM orders) SELECT o_orderkey, o_orderpriority FROM k JOIN q ON s = o_orderpriority WHERE n <= quota""",
     "overlap_share": "WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), a AS (SELECT 'order' AS label, count(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM o)) AS hits, count(*) AS total FROM lineitem UNION ALL SELECT 'number', count(*) FILTER (l_partkey IN (SELECT o_custkey FROM o)), count(*) FROM lineitem) SELECT *, round(coalesce(hits / nullif(total, 0), 0), 6) AS share FROM a",
-    "file_set_overlap": "WITH a AS (SELECT l_orderkey, list_sort(list_distinct(list(lower(l_returnflag)))) AS k FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT l_orderkey, list_sort(list_distinct(list(lower(l_returnflag)))) AS k FROM lineitem WHERE l_orderkey % 2 = 1 AND l_linenumber <= 2 GROUP BY 1), c AS (SELECT count(*) FILTER (k IN (SELECT k FROM b)) AS hits, count(*) AS total FROM a) SELECT 'files' AS label, hits, total, round(hits / total, 6) AS share FROM c",
+    "file_set_overlap": "WITH a AS (SELECT l_orderkey, list_sort(list_distinct(list(lower(l_returnflag)))) AS k FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_orderkey, list_sort(list_distinct(list(lower(l_returnflag)))) AS k FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), c AS (SELECT count(*) FILTER (k IN (SELECT k FROM b)) AS hits, count(*) AS total FROM a) SELECT 'files' AS label, hits, total, round(hits / total, 6) AS share FROM c",
     "classify_answers": f"""WITH p AS (SELECT p_partkey, 0 AS pos, p_name AS a FROM part UNION ALL SELECT p_partkey, 1, CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT p_partkey, 2, '$' || p_size || '%' FROM part), r AS (SELECT *, trim(coalesce(a, '')) AS raw FROM p),
         m AS (SELECT *, CASE WHEN raw = '' OR length(raw) > 60 OR regexp_matches(raw, '{_quote(T.NO_ANSWER)}') OR regexp_matches(raw, '{_quote(T.NOISY)}') THEN NULL WHEN lower(raw) IN ('yes', 'no') THEN 'exact_bool' WHEN regexp_matches(raw, '{_quote(T.NUMERIC)}') THEN 'numeric' WHEN regexp_matches(raw, '{_quote(T.LABEL)}') THEN 'exact_short' END AS mode FROM r),
         v AS (SELECT *, CASE mode WHEN 'exact_bool' THEN lower(raw) WHEN 'numeric' THEN trim(regexp_replace(raw, '[$,%]', '', 'g')) WHEN 'exact_short' THEN raw END AS value FROM m)
@@ -223,7 +223,7 @@ ORACLE = {
     "input_bytes": "WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), j AS (SELECT l_orderkey, p_size FROM e LEFT JOIN (SELECT * FROM part WHERE p_size > 3) ON l_partkey = p_partkey) SELECT l_orderkey, CASE WHEN count(*) = count(p_size) THEN sum(p_size)::BIGINT END AS input_bytes FROM j GROUP BY 1",
     "split_notebook_overlap": "SELECT o_custkey || '_qa_' || o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "upsert_sizes": "WITH o AS (SELECT p_partkey AS k, p_size::BIGINT AS v FROM part), n AS (SELECT s_suppkey * 30 AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS v FROM supplier) SELECT coalesce(o.k, n.k) AS k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n ON o.k = n.k",
-    "carried_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 500 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)",
+    "carried_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)",
     "pivot_table": "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'F'), 6) AS mean_f, round(avg(l_quantity) FILTER (l_linestatus = 'O'), 6) AS mean_o FROM lineitem GROUP BY 1",
     "melt": "SELECT s_suppkey, 'nation' AS variable, s_nationkey::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 'balance', s_acctbal FROM supplier",
     "dummies": "SELECT c_custkey, (c_mktsegment = 'BUILDING')::INT AS building, (c_mktsegment = 'MACHINERY')::INT AS machinery FROM customer",
@@ -231,7 +231,7 @@ ORACLE = {
     "group_mode": "WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY p_brand) AS top FROM c) SELECT p_brand, CASE WHEN count(*) = 1 THEN max(p_size) END AS mode FROM m WHERE n = top GROUP BY 1",
     "describe_numbers": "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std, min(l_extendedprice) AS low, max(l_extendedprice) AS high, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75 FROM lineitem GROUP BY 1",
     "correlations": "SELECT round(corr(l_quantity, l_extendedprice), 6) AS corr, round(covar_samp(l_quantity, l_discount), 6) AS cov FROM lineitem",
-    "band_join": "WITH p AS (SELECT p_partkey, floor(p_retailprice)::BIGINT AS lo FROM part WHERE p_partkey % 10 = 0) SELECT p_partkey, count(*) AS orders FROM p JOIN orders ON floor(o_totalprice)::BIGINT >= lo AND floor(o_totalprice)::BIGINT < lo + 50 GROUP BY 1",
+    "band_join": "WITH p AS (SELECT p_partkey, floor(p_retailprice)::BIGINT AS lo FROM part) SELECT p_partkey, count(*) AS orders FROM p JOIN orders ON floor(o_totalprice)::BIGINT >= lo AND floor(o_totalprice)::BIGINT < lo + 50 GROUP BY 1",
     "top_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "revenue_by_nation": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
 }

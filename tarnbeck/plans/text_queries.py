@@ -14,12 +14,6 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def head(c: str = "text", n: int = 80):
-    """A question-like text: the first line, cut as the reports show it."""
-    return F.substring(F.split_part(F.coalesce(F.col(c), F.lit("")), F.lit("\n"), F.lit(1)), 1, n)
-
-
-HEAD = "substr(split_part(coalesce({c}, ''), chr(10), 1), 1, {n})"
 NORM = "trim(regexp_replace(regexp_replace(lower({c}), '[$`\\\\*_>]+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 STOP = "[" + ", ".join(f"'{w}'" for w in (*T.STOP_WORDS, "")) + "]"
 TOKENS = f"list_sort(list_distinct([w for w in string_split({{n}}, ' ') if NOT list_contains({STOP}, w)]))"
@@ -41,24 +35,28 @@ def questions(spark, d) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"), F.col("source").alias("table"), F.col("lang").alias("answer"))
 
 
+def two_collections(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents with and without labels."""
+    q, known = questions(spark, d), read(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return q.join(known, "id", "left_semi"), q.join(known, "id", "left_anti")
+
+
 def exact_dups(spark, d):
-    q = questions(spark, d)
-    return overlap.question_matches(q.where("id % 2 = 0"), q.where("id % 2 = 1"))
+    return overlap.question_matches(*two_collections(spark, d))
 
 
-def titles(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), head().alias("question"))
+def _near(spark, d) -> DataFrame:
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    return overlap.near_duplicate_pairs(questions(spark, d), items, exclude_exact=False)
 
 
 def near_dups(spark, d):
-    t = titles(spark, d)
-    out = overlap.near_duplicate_pairs(t.where("id % 2 = 0"), t.where("id % 2 = 1"), exclude_exact=False)
+    out = _near(spark, d)
     return out.withColumns({"jaccard": F.round("jaccard", 6), "ngram": F.round("ngram", 6)})
 
 
 def near_dup_sensitivity(spark, d):
-    t = titles(spark, d)
-    return overlap.sensitivity(overlap.near_duplicate_pairs(t.where("id % 2 = 0"), t.where("id % 2 = 1"), exclude_exact=False))
+    return overlap.sensitivity(_near(spark, d))
 
 
 def _keys():
@@ -83,12 +81,11 @@ def firewall_drop_reasons(spark, d):
 
 def disagreements_same_key(spark, d):
     q = questions(spark, d).join(read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label")), "id").drop("answer").withColumnRenamed("label", "answer")
-    return overlap.disagreements(q.where("id % 2 = 0"), q.where("id % 2 = 1"))
+    return overlap.disagreements(q, q)
 
 
 def distinct_on_shared_key(spark, d):
-    q = questions(spark, d)
-    return overlap.distinct_on_shared(q.where("id % 2 = 0"), q.where("id % 2 = 1"), "table").withColumnRenamed("table", "source")
+    return overlap.distinct_on_shared(*two_collections(spark, d), "table").withColumnRenamed("table", "source")
 
 
 def exits():
@@ -206,11 +203,12 @@ QUERIES = {f.__name__: f for f in (
 )} | {"cohens_kappa": _kappa}
 
 N = NORM.format(c="text")
-TITLES = f"""a AS (SELECT doc_id AS id, {NORM.format(c=HEAD.format(c='text', n=80))} AS n FROM documents), b AS (SELECT id, n, {TOKENS.format(n='n')} AS t, {GRAMS.format(n='n')} AS g FROM a),
-s AS (SELECT * FROM b WHERE id % 2 = 0 AND len(t) > 0), r AS (SELECT * FROM b WHERE id % 2 = 1 AND len(t) > 0),
+TITLES = f"""sa AS (SELECT doc_id AS id, {N} AS n FROM documents), ra AS (SELECT item_id AS id, {N} AS n FROM benchmark),
+s AS (SELECT id, n, {TOKENS.format(n='n')} AS t FROM sa), r AS (SELECT id, n, {TOKENS.format(n='n')} AS t FROM ra),
 sx AS (SELECT id, unnest(t) AS w FROM s), rx AS (SELECT id, unnest(t) AS w FROM r), c AS (SELECT sx.id AS s_id, rx.id AS r_id, count(*) AS k FROM sx JOIN rx USING (w) GROUP BY ALL),
-p AS (SELECT s_id, r_id, k / (len(s.t) + len(r.t) - k) AS jaccard, s.g AS sg, r.g AS rg FROM c JOIN s ON s.id = s_id JOIN r ON r.id = r_id),
-q AS (SELECT s_id, r_id, jaccard, {JACCARD.format(a='sg', b='rg')} AS ngram FROM p WHERE jaccard >= 0.6)"""
+j AS (SELECT s_id, r_id, k / (len(s.t) + len(r.t) - k) AS jaccard, s.n AS sn, r.n AS rn FROM c JOIN s ON s.id = s_id JOIN r ON r.id = r_id),
+p AS (SELECT s_id, r_id, jaccard, {GRAMS.format(n='sn')} AS sg, {GRAMS.format(n='rn')} AS rg FROM j WHERE jaccard >= 0.6),
+q AS (SELECT s_id, r_id, jaccard, {JACCARD.format(a='sg', b='rg')} AS ngram FROM p)"""
 ASCII = "regexp_replace(text, '[^\\x20-\\x7E]', ' ', 'g')"
 
 
@@ -230,13 +228,13 @@ PLAIN = "lower(regexp_replace({c}, '[\\s,_%$]', '', 'g'))"
 ORACLE = {
     "normalised_text": f"SELECT item_id, {N} AS norm FROM benchmark",
     "token_sets": f"WITH a AS (SELECT item_id, {N} AS n FROM benchmark) SELECT item_id, array_to_string({TOKENS.format(n='n')}, ' ') AS tokens, len({GRAMS.format(n='n')}) AS n_grams FROM a",
-    "exact_dups": f"WITH q AS (SELECT doc_id AS id, {N} AS n, source FROM documents), s AS (SELECT * FROM q WHERE id % 2 = 0 AND n <> ''), r AS (SELECT * FROM q WHERE id % 2 = 1) SELECT s.id AS s_id, coalesce(max(r.id) FILTER (r.source = s.source), max(r.id)) AS r_id, bool_or(r.source = s.source) AS same_table FROM s JOIN r ON s.n = r.n GROUP BY s.id",
+    "exact_dups": f"WITH q AS (SELECT doc_id AS id, {N} AS n, source FROM documents), s AS (SELECT * FROM q WHERE id IN (SELECT doc_id FROM labels) AND n <> ''), r AS (SELECT * FROM q WHERE id NOT IN (SELECT doc_id FROM labels)) SELECT s.id AS s_id, coalesce(max(r.id) FILTER (r.source = s.source), max(r.id)) AS r_id, bool_or(r.source = s.source) AS same_table FROM s JOIN r ON s.n = r.n GROUP BY s.id",
     "near_dups": f"WITH {TITLES} SELECT s_id, r_id, round(jaccard, 6) AS jaccard, round(ngram, 6) AS ngram FROM q WHERE ngram >= 0.4",
     "near_dup_sensitivity": f"WITH {TITLES}, u AS (SELECT * FROM (VALUES (0.9::DOUBLE, 0.8::DOUBLE), (0.8, 0.6), (0.7, 0.5), (0.6, 0.4)) v(jaccard_floor, ngram_floor)) SELECT jaccard_floor, ngram_floor, count(s_id) AS pairs FROM u LEFT JOIN q ON jaccard >= jaccard_floor AND ngram >= ngram_floor GROUP BY ALL",
     "decontaminate_firewall": f"WITH {HELD} SELECT doc_id FROM f WHERE reason IS NULL",
     "firewall_drop_reasons": f"WITH {HELD} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM f GROUP BY 1",
-    "disagreements_same_key": f"WITH q AS (SELECT doc_id AS id, {N} AS n, CAST(quality AS VARCHAR) AS answer FROM documents JOIN labels USING (doc_id)) SELECT s.id AS s_id, r.id AS r_id, s.answer AS s_answer, r.answer AS r_answer FROM q s JOIN q r ON s.n = r.n WHERE s.id % 2 = 0 AND r.id % 2 = 1 AND s.answer <> r.answer",
-    "distinct_on_shared_key": f"WITH q AS (SELECT doc_id AS id, {N} AS n, source FROM documents), s AS (SELECT source, min(id) AS s_id, arg_min(n, id) AS n FROM q WHERE id % 2 = 0 GROUP BY source) SELECT s.source, s_id, min(q.id) AS r_id FROM s JOIN q ON q.source = s.source AND q.id % 2 = 1 AND q.n <> s.n GROUP BY ALL ORDER BY s.source LIMIT 10",
+    "disagreements_same_key": f"WITH q AS (SELECT doc_id AS id, {N} AS n, CAST(quality AS VARCHAR) AS answer FROM documents JOIN labels USING (doc_id)) SELECT s.id AS s_id, r.id AS r_id, s.answer AS s_answer, r.answer AS r_answer FROM q s JOIN q r ON s.n = r.n WHERE s.answer <> r.answer",
+    "distinct_on_shared_key": f"WITH q AS (SELECT doc_id AS id, {N} AS n, source FROM documents), s AS (SELECT source, min(id) AS s_id, arg_min(n, id) AS n FROM q WHERE id IN (SELECT doc_id FROM labels) GROUP BY source) SELECT s.source, s_id, min(q.id) AS r_id FROM s JOIN q ON q.source = s.source AND q.id NOT IN (SELECT doc_id FROM labels) AND q.n <> s.n GROUP BY ALL ORDER BY s.source LIMIT 10",
     "pool_funnel_counts": f"WITH {FUNNEL} SELECT coalesce(reason, 'kept') AS exit_reason, count(*) AS n FROM k GROUP BY 1",
     "pool_kept": f"WITH {FUNNEL} SELECT doc_id FROM k WHERE reason IS NULL",
     "regex_tags": f"WITH a AS (SELECT doc_id, {ASCII} AS x FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(x, '{_sql(p)}') THEN '{n}'" for n, p in T.FAMILIES) + f" ELSE 'other' END AS family, {_tags(T.NONDETERMINISM)} AS nondeterminism, {_tags(T.AMBIGUOUS)} AS ambiguity FROM a",
