@@ -120,6 +120,22 @@ def test_terms_that_disclose(spark):
     assert P.with_spans(df.limit(0)).count() == 0
 
 
+def test_terms_of_rare_entities(spark):
+    """Entities in one, two and three documents, and two in the same document, disclosed by terms that stand only there."""
+    rows = [(i, f"plain words lives here again{'abcdefghij'[i % 10] * 3}") for i in range(600)]
+    rows += [(1000, "plain Zebraman lives solo@one.example here"), (1001, "words lives +1 555 010 9999 Ottokar 10.1.2.3 here")]
+    rows += [(1010 + i, "plain Duomo lives pair@two.example here") for i in range(2)] + [(1020 + i, f"words Triglav lives trio@three.example here row{'abc'[i] * 4}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (P.BROADCAST_ROWS, 0):
+        was, P.BROADCAST_ROWS = P.BROADCAST_ROWS, bound
+        got = {r.doc_id: (r.text, [s.value for s in r.spans if s.kind == "term"]) for r in P.sanitised(df).collect()}
+        P.BROADCAST_ROWS = was
+        assert got[1000] == ("plain  lives [EMAIL] here", ["Zebraman"]) and got[1001] == ("words lives [PHONE]  [IP] here", ["Ottokar"])
+        assert all(got[1010 + i] == ("plain  lives [EMAIL] here", ["Duomo"]) for i in range(2))
+        assert all("Triglav" in got[1020 + i][1] and "lives" in got[1020 + i][0] for i in range(3))
+        assert all(got[i] == (rows[i][1], []) for i in range(600)) and len(got) == len(rows)
+
+
 def test_personal_data_query(spark, sf):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = P.op7_personal_data(spark, sf).collect()
