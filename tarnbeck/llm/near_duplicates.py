@@ -295,9 +295,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(node, n, sketch, elements) of wanted (node, doc_id), made from the documents again."""
-    asked = small(written(wanted.select("doc_id", F.col("node").alias("asked")), "asked"), BROADCAST_ROWS)
-    src = docs.select("doc_id", "text").join(asked, "doc_id").select("asked", "text")
+    """(node, n, sketch, elements) of wanted (node, nul, id, version), made from the documents again; nul: the key is null, and id 0."""
+    asked = small(written(wanted.select("nul", "id", "version", F.col("node").alias("asked")), "asked"), BROADCAST_ROWS)
+    keyed = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    src = keyed.join(asked, ["nul", "id", "version"]).select("asked", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -392,7 +393,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")).distinct()
     first = written(first, "first")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(chunks.select(F.explode("members").alias("node"))).distinct()
-    reps = sizes.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = sizes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), F.coalesce("doc_id", F.lit(0)).alias("id"), "version")).alias("k")).select("node", "k.*")
     sets = sets_of(docs, ends.join(reps, "node"), seed).dropDuplicates(["node"])
     sets = written(sets, "sets")
     links = verified(first, sets)

@@ -80,6 +80,15 @@ def test_representatives(spark):
     assert sorted((r.doc_id or 0, r.version) for r in got) == [(0, "n"), (1, "x"), (3, "z"), (4, "z")]
 
 
+def test_near_copies_under_null_keys(spark):
+    c, d = ([f"{x}{i}" for i in range(300)] for x in "cd")
+    rows = [(1, " ".join(c[:200])), (None, " ".join(c[18:218])), (3, " ".join(c[36:236])), (None, " ".join(d[:200])), (None, " ".join(d[10:210]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = N.near_duplicates(df).collect()
+    assert {r.component_id for r in got if r.doc_id} == {1} and len({r.name for r in got}) == 2
+    assert sorted(r.text[0] for r in N.representatives(df).collect()) == ["c", "d"]
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
