@@ -11,7 +11,7 @@ e, loses 0.42 bits, one seen twice 0.26, one seen ten times 0.07. Terms whose sh
 disclose it: at 0.95, a single document is evidence enough among 315 documents and more, two documents among 77 and more. In
 documents with e such terms are spans of kind "term", unless a base span holds them, and are removed; base spans are
 generalised to their kind.
-Terms are words of four letters or more, A-Z folded.
+Terms are runs of letters and digits of any length, in lower case.
 
 Everything runs in DataFrame functions. Offsets come from the lengths of matches and of the text between them, summed up in
 logarithmically many passes over the array. Entities are counted by partial sums; those of the same documents have the same
@@ -98,7 +98,7 @@ def base_spans(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Distinct terms of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def discloses(n_both: Column, n_t: Column, n_e: Column, n: int, disclosure: float) -> Column:
@@ -153,7 +153,7 @@ def with_spans(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSU
 
 def term_spans(text: Column, chosen: Column) -> Column:
     """Spans of the chosen terms' occurrences."""
-    p = r"\p{L}+"
+    p = r"[\p{L}\p{N}]+"
     words = F.regexp_extract_all(text, F.lit(p), F.lit(0))
 
     def located(values: Column) -> Column:

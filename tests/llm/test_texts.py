@@ -136,6 +136,13 @@ def test_terms_of_rare_entities(spark):
         assert all(got[i] == (rows[i][1], []) for i in range(600)) and len(got) == len(rows)
 
 
+def test_terms_with_digits_and_short_names(spark):
+    rows = [(i, f"plain words lives here {i % 10}") for i in range(600)] + [(1000, "plain Li lives in room B12 code 7741 solo@one.example here 3")]
+    got = {r.doc_id: r for r in P.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [s.value for s in got[1000].spans if s.kind == "term"] == ["Li", "in", "room", "B12", "code", "7741"]
+    assert got[1000].text == "plain  lives      [EMAIL] here 3" and all(got[i].text == rows[i][1] for i in range(600))
+
+
 def test_personal_data_query(spark, sf):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = P.op7_personal_data(spark, sf).collect()
