@@ -2,8 +2,8 @@
 
 Two views of a document are classified apart: its content (hashed words, word pairs and skip pairs) and its metadata
 (language, source, length class, lines, share of long lines and of signs, as hashed tokens). Both start from the labelled
-rows of a bounded sample; in each round, each classifier gives the unlabelled rows that it is surest of, in the classes'
-proportion, to the other as pseudo-labels. Both are then calibrated (Platt) on labelled rows that neither has learnt from,
+rows of a bounded sample; in each round, each classifier scores all unlabelled documents and gives the texts that it is surest
+of, in the classes' proportion, to the other as pseudo-labels. Both are then calibrated (Platt) on labelled rows that neither has learnt from,
 and their log-odds are combined over all documents.
 
 Null or empty texts are scored like others, by their metadata; null labels are left out; without labelled rows of both
@@ -13,25 +13,28 @@ replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, table, written
+from .common import held_out, small, table, written
 from .toxicity import BITS, Ftrl, features
 
-#: Labelled and unlabelled rows that learning sees at most (in expectation; chosen by a hash of the key).
-LABELLED_ROWS, UNLABELLED_ROWS = 8_000, 4_000
+#: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key), pseudo-labels that a view gives in
+#: a round at most (the surest of all unlabelled documents), labels that are broadcast at most, and rounds.
+LABELLED_ROWS, PSEUDO_ROWS, BROADCAST_ROWS, ROUNDS = 8_000, 500, 2_000_000, 4
 META_BITS = 16
 META = ("lang", "source", "n_chars", "n_lines", "n_words", "n_signs")
 
 
-def with_meta(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, the META columns, text); what a table lacks is null."""
+def with_meta(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the META columns, text, those of keep); what a table lacks is null."""
     t = F.coalesce(F.col(text), F.lit(""))
     own = {c: F.col(c) if c in docs.columns else F.lit(None) for c in ("lang", "source")}
     return docs.select(
@@ -43,6 +46,7 @@ def with_meta(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length(t) - F.length(F.translate(t, " \n\t", "")) + 1).cast("long").alias("n_words"),
         (F.length(t) - F.length(F.translate(t, ".,;:!?|#*=<>{}[]()/\\_-+~^&%$@'\"0123456789", ""))).cast("long").alias("n_signs"),
         t.alias("text"),
+        *keep,
     )
 
 
@@ -62,8 +66,6 @@ _TOKENS: dict[str, int] = {}
 
 def _token(x: str) -> int:
     if x not in _TOKENS:
-        import zlib
-
         if len(_TOKENS) > 100_000:
             _TOKENS.clear()
         _TOKENS[x] = zlib.crc32(x.encode()) & ((1 << META_BITS) - 1)
@@ -97,73 +99,154 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(v[0], 0.0)), float(v[1])
 
 
-def cotrain(rows: list[tuple[int, float | None, np.ndarray, np.ndarray]], rounds: int = 4, given: float = 0.05, seed: int = 0) -> dict:
+def cotrain(rows: list[tuple[int, float | None, np.ndarray, np.ndarray]], rounds: int = ROUNDS, given: float = 0.05, seed: int = 0) -> dict:
     """rows: (key, label or None, text features, metadata features), each with its bias. Weights and calibration of both views."""
-    known = [r for r in rows if r[1] is not None]
-    free = [r for r in rows if r[1] is None]
-    aside, own = known[::5], [r for i, r in enumerate(known) if i % 5]
-    if len({r[1] for r in own}) < 2 or len({r[1] for r in aside}) < 2:
-        return {"text": np.zeros((1 << BITS) + 1), "meta": np.zeros((1 << META_BITS) + 1), "cal": ((0.0, 0.0), (0.0, 0.0)), "prior": 0.0}
-    share = float(np.mean([r[1] for r in own]))
-    sets = [[(r[2 + v], r[1]) for r in own] for v in (0, 1)]
+    known, free = [r for r in rows if r[1] is not None], [r for r in rows if r[1] is None]
+    more: list[list[tuple[np.ndarray, float]]] = [[], []]
     taken: list[set[int]] = [set(), set()]
     for k in range(rounds + 1):
-        w = [_trained(s, bits, seed) for s, bits in zip(sets, (BITS, META_BITS), strict=True)]
-        if k == rounds or not free:
+        m = learnt(known, more, seed)
+        if k == rounds or not free or m["share"] is None:
             break
-        for v in (0, 1):
-            s = np.array([w[v][r[2 + v]].sum() for r in free])
+        for v, name in enumerate(VIEWS):
+            s = np.array([m[name][r[2 + v]].sum() for r in free])
             order = [i for i in np.argsort(-s, kind="stable") if i not in taken[1 - v]]
             n = int(given * len(free))
-            up, down = int(round(n * share)), n - int(round(n * share))
+            up, down = int(round(n * m["share"])), n - int(round(n * m["share"]))
             for i, label in [*((i, 1.0) for i in order[:up]), *((i, 0.0) for i in order[len(order) - down :])]:
                 if (s[i] > 0) == (label > 0):
                     taken[1 - v].add(i)
-                    sets[1 - v].append((free[i][3 - v], label))
+                    more[1 - v].append((free[i][3 - v], label))
+    return m
+
+
+VIEWS = ("text", "meta")
+
+
+def learnt(known: list[tuple[int, float, np.ndarray, np.ndarray]], more: list[list[tuple[np.ndarray, float]]], seed: int = 0) -> dict:
+    """Weights and calibration of both views from labelled rows and each view's pseudo-labelled ones; share: of positive labels, None without both classes."""
+    aside, own = known[::5], [r for i, r in enumerate(known) if i % 5]
+    if len({r[1] for r in own}) < 2 or len({r[1] for r in aside}) < 2:
+        return {"text": np.zeros((1 << BITS) + 1), "meta": np.zeros((1 << META_BITS) + 1), "cal": ((0.0, 0.0), (0.0, 0.0)), "prior": 0.0, "share": None}
+    share = float(np.mean([r[1] for r in own]))
+    w = [_trained([(r[2 + v], r[1]) for r in own] + more[v], bits, seed) for v, bits in enumerate((BITS, META_BITS))]
     y = np.array([r[1] for r in aside])
     cal = tuple(_platt(_margin(np.array([w[v][r[2 + v]].sum() for r in aside])), y) for v in (0, 1))
-    return {"text": w[0], "meta": w[1], "cal": cal, "prior": float(np.log(share / (1 - share)))}
+    return {"text": w[0], "meta": w[1], "cal": cal, "prior": float(np.log(share / (1 - share))), "share": share}
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> dict:
-    """The model, with sparse weights, from documents and labels (doc_id, column)."""
-    named = labels.select("doc_id", F.col(column).cast("double").alias("label")).where("label is not null")
-    known = named.where(~held_out())
-    n, m = known.count(), docs.count()
-    part = lambda share: (F.xxhash64(F.lit(7), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 < int(1_000_000 * min(1.0, share))
-    docs = with_meta(docs)
-    rows = docs.join(known.where(part(labelled_rows / max(n, 1))), "doc_id").unionByName(
-        docs.where(part(unlabelled_rows / max(m, 1))).join(named, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double"))
-    )
+def version() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, text features, metadata features, view that learns from it or null) of with_meta's columns, label and view."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 200):
+            b = whole.slice(lo, 200)
+            f, own = features(b.column(7))
+            code = np.unique(own << (BITS + 1) | f)
+            cuts = np.searchsorted(code >> (BITS + 1), np.arange(b.num_rows + 1))
+            f, meta = (code & ((1 << (BITS + 1)) - 1)).astype("<i4"), meta_features(b).astype("<i4")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(8), pa.array([f[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), b.column(9)], names=["doc_id", "label", "f", "g", "view"])
+
+
+def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, more = [], [[], []]
+    for b in batches:
+        for k, y, f, g, v in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            seen.append((k or 0, y, np.append(np.frombuffer(f, "<i4"), np.int32(1 << BITS)), np.append(np.frombuffer(g, "<i4"), np.int32(1 << META_BITS)), v))
+    seen.sort(key=lambda r: (r[0], r[1], zlib.crc32(r[2]), zlib.crc32(r[3])))
+    for r in seen:
+        if r[4] is not None:
+            more[r[4]].append((r[2 + r[4]], r[1]))
+    m = learnt([r for r in seen if r[4] is None], more)
+    out = []
+    for v in VIEWS:
+        at = np.flatnonzero(m[v])
+        out += [pa.array([at.astype("<i8").tobytes()]), pa.array([m[v][at].astype("<f8").tobytes()])]
+    yield pa.RecordBatch.from_arrays([*out, pa.array([[*m["cal"][0], *m["cal"][1], m["prior"]]], pa.list_(pa.float64())), pa.array([m["share"]], pa.float64())], names=["ta", "tw", "ma", "mw", "cal", "share"])
+
+
+def margins(src: DataFrame, sent: Broadcast, view: int) -> DataFrame:
+    """(doc_id, version, s): a view's margins of src (doc_id, version, text) or (doc_id, version, g binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = (BITS, META_BITS)[view]
+        w = np.zeros((1 << bits) + 1)
+        w[sent.value[0]] = sent.value[1]
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
                 b = whole.slice(lo, 200)
-                f, own = features(b.column(7))
-                code = np.unique(own << (BITS + 1) | f)
-                cuts = np.searchsorted(code >> (BITS + 1), np.arange(b.num_rows + 1))
-                f, meta = (code & ((1 << (BITS + 1)) - 1)).astype("<i4"), meta_features(b).astype("<i4")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(8), pa.array([f[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["doc_id", "label", "f", "g"])
+                if view:
+                    s = w[np.frombuffer(b"".join(b.column(2).to_pylist()), "<i4").reshape(b.num_rows, -1)].sum(axis=1) if b.num_rows else np.zeros(0)
+                else:
+                    f, own = features(b.column(2))
+                    hit = np.flatnonzero(w[f])
+                    code = np.unique(own[hit] << (BITS + 1) | f[hit])
+                    s = np.bincount(code >> (BITS + 1), weights=w[code & ((1 << (BITS + 1)) - 1)], minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s + w[1 << bits])], names=["doc_id", "version", "s"])
+
+    return src.mapInArrow(run, "doc_id long, version long, s double")
+
+
+def surest(scored: DataFrame, up: int, down: int, taken: set[int]) -> list[tuple[int | None, int, float]]:
+    """(doc_id, version, label) of the texts with the largest and the least margins, copies once, without those taken (versions)."""
+    once = written(scored.groupBy("version").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "s")).alias("k")).select("version", "k.doc_id", "k.s"), "margins")
+    out = []
+    for n, label, sign in ((up, 1.0, -1), (down, 0.0, 1)):
+        best = once.where(F.col("s") > 0 if label else F.col("s") <= 0).orderBy(F.col("s") * sign, "version").limit(n + len(taken)).collect()
+        out += [(r.doc_id, r.version, label) for r in best if r.version not in taken][:n]
+    return out
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled_rows: int = LABELLED_ROWS, pseudo_rows: int = PSEUDO_ROWS, given: float = 0.05) -> dict:
+    """The model, with sparse weights, from documents and labels (doc_id, column)."""
+    spark = docs.sparkSession
+    named = labels.select("doc_id", F.col(column).cast("double").alias("label")).where("label is not null")
+    known = named.where(~held_out())
+    part = lambda share: (F.xxhash64(F.lit(7), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 < int(1_000_000 * min(1.0, share))
+    none, shape = F.lit(None).cast("int").alias("view"), "doc_id long, label double, f binary, g binary, view int"
+    rows = with_meta(docs).join(known.where(part(labelled_rows / max(known.count(), 1))), "doc_id").select("*", none)
+    feats = written(rows.mapInArrow(gather, shape), "quality-rows")
+    free = docs.select("doc_id", version().alias("version"), F.col("text"))
+    labelled = small(written(named.select("doc_id").distinct(), "labelled"), BROADCAST_ROWS)
+    meta, taken, picked = None, [set(), set()], []
+    for k in range(ROUNDS + 1):
+        r = feats.repartition(1).mapInArrow(train, "ta binary, tw binary, ma binary, mw binary, cal array<double>, share double").first()
+        if r is None:
+            return {"text": (np.zeros(0, np.int64), np.zeros(0)), "meta": (np.zeros(0, np.int64), np.zeros(0)), "cal": [0.0] * 5}
+        m = {"text": (np.frombuffer(r.ta, "<i8"), np.frombuffer(r.tw, "<f8")), "meta": (np.frombuffer(r.ma, "<i8"), np.frombuffer(r.mw, "<f8")), "cal": list(r.cal)}
+        if k == ROUNDS or r.share is None:
+            return m
+        if meta is None:
+            meta = written(meta_table(docs).join(labelled, "doc_id", "left_anti"), "quality-meta")
+            n = min(pseudo_rows, int(given * meta.count()))
+            up = int(round(n * r.share))
+        new = []
+        for v, src in enumerate((free, meta)):
+            sent = spark.sparkContext.broadcast(m[VIEWS[v]])
+            scored = margins(src, sent, v)
+            got = surest(scored if v else scored.join(labelled, "doc_id", "left_anti"), up, n - up, taken[1 - v])
+            sent.destroy()
+            taken[1 - v] |= {x[1] for x in got}
+            new += [(*x, 1 - v) for x in got]
+        if new:
+            chosen = F.broadcast(spark.createDataFrame(new, "own long, version long, label double, view int"))
+            hit = docs.withColumn("__version", version()).join(chosen, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("__version") == chosen["version"])).select(*docs.columns, chosen["label"].alias("__label"), chosen["view"].alias("__view"))
+            once = hit.dropDuplicates(["doc_id", "text", "__view"])
+            picked.append(written(with_meta(once, keep=("__label", "__view")).mapInArrow(gather, shape), "quality-pseudo"))
+            feats = feats.unionByName(picked[-1])
+
+
+def meta_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, g): the metadata features of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, y, f, g in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                seen.append((k or 0, y, np.r_[np.frombuffer(f, "<i4").astype(np.int64), 1 << BITS], np.r_[np.frombuffer(g, "<i4").astype(np.int64), 1 << META_BITS]))
-        seen.sort(key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2].tobytes()))
-        m = cotrain(seen)
-        out = []
-        for v in ("text", "meta"):
-            at = np.flatnonzero(m[v])
-            out += [pa.array([at.astype("<i8").tobytes()]), pa.array([m[v][at].astype("<f8").tobytes()])]
-        yield pa.RecordBatch.from_arrays([*out, pa.array([[*m["cal"][0], *m["cal"][1], m["prior"]]], pa.list_(pa.float64()))], names=["ta", "tw", "ma", "mw", "cal"])
-
-    feats = written(rows.mapInArrow(gather, "doc_id long, label double, f binary, g binary"), "quality-rows")
-    r = feats.repartition(1).mapInArrow(train, "ta binary, tw binary, ma binary, mw binary, cal array<double>").first()
-    if r is None:
-        return {"text": (np.zeros(0, np.int64), np.zeros(0)), "meta": (np.zeros(0, np.int64), np.zeros(0)), "cal": [0.0] * 5}
-    return {"text": (np.frombuffer(r.ta, "<i8"), np.frombuffer(r.tw, "<f8")), "meta": (np.frombuffer(r.ma, "<i8"), np.frombuffer(r.mw, "<f8")), "cal": list(r.cal)}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in meta_features(b, 2).astype("<i4")], pa.binary())], names=["doc_id", "version", "g"])
+
+    return with_meta(docs).select("doc_id", version().alias("version"), *META).mapInArrow(run, "doc_id long, version long, g binary")
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

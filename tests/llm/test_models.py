@@ -107,6 +107,13 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_the_surest_of_all_documents_are_taken(spark):
+    rows = [(i, i % 5000, (i % 5000 - 2500) / 10) for i in range(10_000)] + [(None, 7_000, 900.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, version long, s double")
+    got = quality.surest(scored, 3, 2, {4999})
+    assert got == [(None, 7000, 1.0), (4998, 4998, 1.0), (4997, 4997, 1.0), (0, 0, 0.0), (1, 1, 0.0)]
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(3)
     rows = []
