@@ -1,6 +1,5 @@
 """Operators 1, 7 and 9 against plain Python."""
 
-import bisect
 import hashlib
 import random
 import re
@@ -35,11 +34,10 @@ def order_minhash(text):
         k = x64(*h[i : i + 3]) >> 26
         made.append(x64(k, ("<i", seen[k])) & ~LOW | (i + 1))
         seen[k] += 1
-    made.sort()
     out = ""
     for j in range(64):
-        i = bisect.bisect_left(made, -(1 << 63) + j * (1 << 58))
-        a, b = made[i % len(made)], made[(i + 1) % len(made)]
+        rank = {(k * ((j * 37 + 11) % 32 * 2 + 1) % 64) ^ j: k for k in range(64)}
+        a, b = (sorted(made, key=lambda x: (rank[(x >> 58) + 32], x)) * 2)[:2]
         if a & LOW > b & LOW:
             a, b = b, a
         out += f"{x64(a & ~LOW, b & ~LOW) & 0xFFFF:04x}"
@@ -85,10 +83,16 @@ def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
 def plain_spans(text):
     out = []
     for k in P.KINDS:
-        for m in re.finditer(P.PATTERNS[k], text, re.ASCII):
+        for m in re.finditer(PLAIN[k], text, re.ASCII):
             v = m.group()
             d = re.sub("[^0-9]", "", v)
             ok = {"email": True, "ip": all(int(x) <= 255 for x in v.split(".")) if k == "ip" else False, "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[k]
@@ -109,6 +113,66 @@ def test_base_spans(spark):
         assert r.s == plain_spans(r.text or ""), r.text
 
 
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(6)
+    bits = ["a", "b.c", "@", ".", "_", "%", "+1", " ", "-", "1", "23", "4111 1111 1111 1111", "9.9", ".9.", "é", "x@y.z", "@@", "a@b", "(555) 0"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", P.listed(P.base_spans(F.col("text"))).alias("s")).collect():
+        assert r.s == plain_spans(r.text), r.text
+
+
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000])
+def test_base_spans_of_long_runs(spark, n):
+    """Runs that make a pattern with groups recurse, or try each place of a run anew."""
+    runs = {"digits": "7" * n, "dots": "a@b" + ".c" * n, "letters": "x" * n + " q@w.example", "numbers": "1." * n, "plus": "+1" * n, "call": "+1" + " " * n + "x", "at": "@a" * n, "cards": "4 " * n}
+    df = spark.createDataFrame([(t,) for t in runs.values()], "text string").repartition(len(runs))
+    got = sorted(r.s for r in df.select(F.sha2(P.listed(P.base_spans(F.col("text"))), 256).alias("s")).collect())
+    start = n + 1
+    want = {"dots": f"email:0:{2 * n + 3}", "letters": f"email:{start}:{start + 11}", "numbers": ",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(n // 4))}
+    assert got == sorted(hashlib.sha256(want.get(k, "").encode()).hexdigest() for k in runs)
+
+
+def plain_terms(rows, share=P.DISCLOSURE):
+    """The disclosing terms of each row, by counting documents for every pair."""
+    import math
+
+    ents = [{(s.split(":")[0], t[int(s.split(":")[1]) : int(s.split(":")[2])]) for s in plain_spans(t).split(",") if s} for t in rows]
+    terms = [{w for w in re.split(r"[\W_]+", t.lower()) if w} for t in rows]
+    out = []
+    for e, w in zip(ents, terms):
+        hit = set()
+        for x in e:
+            n_e = sum(x in f for f in ents)
+            info = math.log2(len(rows) / n_e)
+            for v in w:
+                n_t, both = sum(v in u for u in terms), sum(v in u and x in f for u, f in zip(terms, ents))
+                if info > 0 and math.log2((both + 0.5) / (n_t + 1)) + info >= share * info:
+                    hit.add(v)
+        out.append(hit)
+    return out
+
+
+def test_terms_as_by_counting_all_pairs(spark):
+    rng = random.Random(12)
+    people = [(f"name{chr(97 + i)}x", f"p{i}@mail.example") for i in range(12)]
+    rows = []
+    for _ in range(400):
+        body = rng.choices([f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(400)], k=rng.randint(3, 12))
+        for _ in range(rng.randint(0, 2)):
+            who, mail = rng.choice(people)
+            body += [who] * (rng.random() < 0.9) + [mail] * (rng.random() < 0.6)
+        rng.shuffle(body)
+        rows.append(" , ".join(body))
+    want = plain_terms(rows)
+    assert sum(map(bool, want)) > 50
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    inside = [{i for s in plain_spans(t).split(",") if s for i in range(int(s.split(":")[1]), int(s.split(":")[2]))} for t in rows]
+    for r in P.with_spans(df).collect():
+        places = {(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", r.text) if m.group().lower() in want[r.doc_id] and m.start() not in inside[r.doc_id]}
+        assert {(s.start, s.stop) for s in r.spans if s.kind == "term"} == places
+
+
 def test_terms_that_disclose(spark):
     rows = [(i, f"writer Quillon lives here mail quill@on.example thing{i}") for i in range(6)] + [(i, f"other words here thing{i} lives") for i in range(6, 40)] + [(50, "lone solo@one.example zebra"), (51, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
