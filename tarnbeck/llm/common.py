@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where it is unset, one of our own: in local mode a temporary folder that goes when the driver ends, on a cluster one
+    below the warehouse, which all executors see.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tarnbeck-")
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            own = tempfile.mkdtemp(prefix="tarnbeck-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            root = "file://" + own
+        else:
+            root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
         spark.conf.set("spark.checkpoint.dir", root)
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -57,12 +68,12 @@ def new_file(uri: str):
     """A binary file that appears under its name only when complete; a second attempt replaces it with equal bytes."""
     path, tag = local_name(uri), f".{uuid.uuid4().hex}.tmp"
     if path is None:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
+        store, path = _store(uri)
         store.create_dir(os.path.dirname(path), recursive=True)
         with store.open_output_stream(path + tag) as f:
             yield f
+        if store.get_file_info(path).is_file:  # of an earlier attempt; not every store moves onto a name that exists
+            store.delete_file(path)
         store.move(path + tag, path)
     else:
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -75,10 +86,16 @@ def open_file(uri: str):
     path = local_name(uri)
     if path is not None:
         return open(path, "rb")
+    store, path = _store(uri)
+    return store.open_input_stream(path)
+
+
+def _store(uri: str):
+    """(file system, path) of a URI; Hadoop's names of S3 are pyarrow's s3."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
-    return store.open_input_stream(path)
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3{sep}{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def held_out() -> F.Column:
