@@ -405,7 +405,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         named = written(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "named")
     each = written(sizes.join(named, "node", "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "node").alias("name")), "each")
-    least = each.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that both sides of the join are plain exchanges and a component of a third of all rows is split
+    least = small(written(each.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("component_id")), "least"), BROADCAST_ROWS)
     return each.join(least, "name", "left").select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "name")
 
 
