@@ -4,7 +4,8 @@ An agenda holds every adjacent pair of symbols whose join is a piece, ordered by
 best pair is merged, its neighbours form new pairs, stale entries are passed over. Symbols that are no piece fall back to
 their bytes. A text falls apart where no piece of the vocabulary could ever join two neighbouring characters, so segments
 are encoded once and remembered in a table of bounded size. In every Arrow batch, all parts with a segment that was new to the
-table are encoded by the sentencepiece library as well, and a difference raises.
+table are encoded by the sentencepiece library as well, and a difference raises; a part that no space leads is checked where it
+follows a line end.
 
 Nulls count as empty texts, which give no ids and decode to an empty text; repeated rows each give their row; columns of
 the input beside the named ones are carried, those called ids or decoded are replaced.
@@ -48,7 +49,7 @@ class PieceCodec(dict):
         if any("\n" in p or re.search("[^▁]▁", p) for p in self.id):
             raise ValueError("pieces with inner spaces or line ends are not supported")
         self.joins = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.size, self.new, self.fresh = size, [], False
+        self.size, self.new = size, []
 
     def agenda(self, part: str) -> list[int]:
         """The ids of a part, spaces written as U+2581."""
@@ -90,28 +91,37 @@ class PieceCodec(dict):
         text, joins = part.replace(" ", "▁"), self.joins
         cut = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joins]
         if cut:
-            was, self.fresh = self.fresh, False
-            ids = b"".join([self[part[a:b]] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)])
-            fresh, self.fresh = self.fresh, was
+            pieces = [part[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)]
+            fresh = any(p not in self for p in pieces)
+            ids = b"".join([self.segment(p) for p in pieces])
         else:
-            ids, fresh = array("i", self.agenda(text)).tobytes(), True
+            ids, fresh = self.segment(part), True
         if fresh:
-            self.fresh = True
             self.new.append(part)
         if len(part) <= 64:
             self[part] = ids
         return ids
 
+    def segment(self, part: str) -> bytes:
+        """The ids of a part that no join crosses the ends of; checked with the part that it belongs to."""
+        ids = self.get(part)
+        if ids is None:
+            ids = array("i", self.agenda(part.replace(" ", "▁"))).tobytes()
+            if len(part) <= 64:
+                self[part] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, _PART.findall(" " + text.replace("▁", " ")))) if text else b""
 
     def check(self) -> None:
         """Holds the parts with segments that are new since the last call against the library."""
-        whole = [p[1:] for p in self.new if p[0] == " " and len(p) > 1]
+        # the library puts a space before a text; after a line end none is put
+        whole = [p[1:] if p[0] == " " and len(p) > 1 else "\n" + p.strip(" \n") for p in self.new]
         for part, ids in zip(whole, self.library.encode(whole, num_threads=1), strict=True):
-            if array("i", ids).tobytes() != self[" " + part]:
+            if array("i", ids).tobytes() != b"".join(bytes(self[p]) for p in _PART.findall(" " + part)):
                 raise AssertionError(f"agenda and library differ on {part!r}")
-        self.new, self.fresh = [], False
+        self.new = []
         if len(self) > self.size:
             self.clear()
 
