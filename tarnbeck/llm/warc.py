@@ -1,7 +1,8 @@
 """Operator 4, dictionary-compressed WARC archives.
 
-Each archive is a .warc.zst file: a skippable frame (0x184D2A5D) with a Zstandard dictionary built from records of the same
-archive, then one Zstandard frame per record, so that any record can be read alone with the dictionary. Of records with
+Each archive is a .warc.zst file: a skippable frame (0x184D2A5D) with a Zstandard dictionary built from the first records of
+its partition, then one Zstandard frame per record, so that any record can be read alone with the dictionary. A partition of
+fewer than SAMPLES records, or with too little text to train on, has archives without a dictionary. Of records with
 equal payloads the one with the largest page_id is a response, the others are revisits that refer to it and carry no
 payload; payloads shorter than min_bytes are always responses.
 
@@ -30,8 +31,9 @@ from .common import new_file, open_file, shared_path, table, written
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:tarnbeck:page:"
-#: Bytes of records that a dictionary is built from, its size, and the bytes after which an archive is closed.
-SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 10, 256 << 20
+#: Bytes of records that a dictionary is built from (of each its first RECORD_BYTES, of SAMPLES records at least), its size,
+#: and the bytes after which an archive is closed.
+SAMPLE_BYTES, RECORD_BYTES, SAMPLES, DICTIONARY_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 10, 8, 64 << 10, 256 << 20
 #: Digests with this share of the rows or more go by broadcast; there are at most 1 / HOT of them.
 HOT = 1 / 1000
 
@@ -59,7 +61,7 @@ def dictionary(samples: list[bytes], size: int):
     """A trained dictionary, or None where there is too little to train on."""
     import zstandard
 
-    if len(samples) < 8 or sum(map(len, samples)) < 8 * 1024:
+    if len(samples) < SAMPLES or sum(map(len, samples)) < 8 * 1024:
         return None
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples, k=512, d=8)
@@ -94,10 +96,10 @@ def write_archives(pages: DataFrame, to: str, key: str = "page_id", url: str = "
         rest, head, size = records(), [], 0
         for r in rest:
             head.append(r)
-            size += len(r)
+            size += min(len(r), RECORD_BYTES)
             if size >= SAMPLE_BYTES:
                 break
-        known = dictionary([r[:65536] for r in head], DICTIONARY_BYTES)
+        known = dictionary([r[:RECORD_BYTES] for r in head], DICTIONARY_BYTES)
         todo = iter(head)
         while head:
             name, n, size = f"{to}/part-{part:06d}-{len(made):04d}.warc.zst", 0, 0
