@@ -3,6 +3,7 @@
 A text's features are the distinct hashes of its words, pairs of neighbouring words and pairs one word apart (words are runs
 of letters and digits, A-Z folded). Learning goes through a bounded sample of labelled rows with per-coordinate rates and
 L1, which leaves few weights that are not zero; those are what scoring needs, and they are small enough to send along.
+The sample is drawn from the labels, by a hash of the key, before they meet the texts.
 Labels, languages, sources and keys are never inputs of a score.
 
 Empty and null texts get the score of the bias alone; null labels are left out of learning; rows that repeat each count;
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIGNS, held_out, mix, table, texts_of, word_hashes, written
+from .common import SIGNS, held_out, mix, small, table, texts_of, word_hashes, written
 
 BITS = 20
 #: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key).
@@ -64,12 +65,16 @@ class Ftrl:
         return at, w[at]
 
 
+def sampled(rows: DataFrame, slack: float, sample_rows: int, *by) -> DataFrame:
+    """rows, or sample_rows of them in expectation, chosen by a hash, if there are more than slack times as many."""
+    n = rows.count()
+    return rows if n <= slack * sample_rows else rows.where(F.pmod(F.xxhash64(*by), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+
+
 def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passes: int = 8, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The weights that are not zero, from rows (doc_id, text, label) with labels 0 and 1."""
     rows = rows.where("label is not null").select("doc_id", "text", F.col("label").cast("double").alias("label"))
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where((F.xxhash64(F.lit(seed), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 < int(1_000_000 * sample_rows / n))
+    rows = sampled(rows, 1.25, sample_rows, F.lit(seed + 1), "doc_id", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,10 +124,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
     return src.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """(doc_id, text, label) of the rows whose labels may be learnt from."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
+    """(doc_id, text, label) of a sample of the rows whose labels may be learnt from."""
     known = labels.where(~held_out()).select("doc_id", F.col(column).alias("label")).where("label is not null")
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    chosen = written(sampled(known, 1, sample_rows, F.lit(seed), "doc_id"), "labels")
+    return docs.select("doc_id", "text").join(small(chosen, 2 * sample_rows), "doc_id")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
