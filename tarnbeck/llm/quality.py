@@ -2,8 +2,8 @@
 
 Two views of a document are classified apart: its content (hashed words, word pairs and skip pairs) and its metadata
 (language, source, length class, lines, share of long lines and of signs, as hashed tokens). Both start from the labelled
-rows of a bounded sample; in each round, each classifier scores all unlabelled documents and gives the texts that it is surest
-of, in the classes' proportion, to the other as pseudo-labels. Both are then calibrated (Platt) on labelled rows that neither has learnt from,
+rows of a bounded sample; in each round, both score all unlabelled documents in one pass, and each gives the texts that it is
+surest of, in the classes' proportion, to the other as pseudo-labels. Both are then calibrated (Platt) on labelled rows that neither has learnt from,
 and their log-odds are combined over all documents.
 
 Null or empty texts are scored like others, by their metadata; null labels are left out; without labelled rows of both
@@ -19,48 +19,81 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, small, table, written
-from .toxicity import BITS, Ftrl, features
+from .common import held_out, small, table, texts_of, written
+from .toxicity import BITS, Ftrl, features, sampled
 
 #: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key), pseudo-labels that a view gives in
 #: a round at most (the surest of all unlabelled documents), labels that are broadcast at most, and rounds.
 LABELLED_ROWS, PSEUDO_ROWS, BROADCAST_ROWS, ROUNDS = 8_000, 500, 2_000_000, 4
 META_BITS = 16
-META = ("lang", "source", "n_chars", "n_lines", "n_words", "n_signs")
-
-
-def with_meta(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the META columns, text, those of keep); what a table lacks is null."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    own = {c: F.col(c) if c in docs.columns else F.lit(None) for c in ("lang", "source")}
-    return docs.select(
-        "doc_id",
-        own["lang"].cast("string").alias("lang"),
-        own["source"].cast("string").alias("source"),
-        F.length(t).cast("long").alias("n_chars"),
-        (F.length(t) - F.length(F.translate(t, "\n", "")) + 1).cast("long").alias("n_lines"),
-        (F.length(t) - F.length(F.translate(t, " \n\t", "")) + 1).cast("long").alias("n_words"),
-        (F.length(t) - F.length(F.translate(t, ".,;:!?|#*=<>{}[]()/\\_-+~^&%$@'\"0123456789", ""))).cast("long").alias("n_signs"),
-        t.alias("text"),
-        *keep,
-    )
-
-
-def meta_features(b: pa.RecordBatch, at: int = 1) -> np.ndarray:
+#: Signs and digits.
+SIGNS = np.isin(np.arange(256), list(b".,;:!?|#*=<>{}[]()/\\_-+~^&%$@'\"0123456789"))
+#: Whether a byte begins a code point, ends a line, ends a word, is a sign.
+KINDS = np.stack([np.arange(256) & 0xC0 != 0x80, np.isin(np.arange(256), [10]), np.isin(np.arange(256), [32, 10, 9]), SIGNS], 1).astype(np.int64)
+#: Documents whose features are made at a time, and bytes that are counted at a time.
+SLICE, WINDOW = 200, 1 << 20
+
+
+def viewed(docs: DataFrame, *keep: Column) -> DataFrame:
+    """(doc_id, lang, source, text, those of keep); what a table lacks is null, a null text is empty."""
+    own = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")]
+    return docs.select("doc_id", *own, F.coalesce("text", F.lit("")).alias("text"), *keep)
+
+
+def counted(column: pa.Array) -> np.ndarray:
+    """(code points, lines, words, signs) of each text."""
+    data, offsets = texts_of(column)
+    out = np.zeros((len(offsets) - 1, 256), np.int64)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for lo in range(a, b, WINDOW):
+            out[i] += np.bincount(data[lo : min(b, lo + WINDOW)], minlength=256)
+    return out @ KINDS + [0, 1, 1, 0]
+
+
+def text_features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(text, distinct feature) of a batch of viewed() rows."""
+    f, own = features(b.column(3))
+    code = np.unique(own << (BITS + 1) | f)
+    return code >> (BITS + 1), code & ((1 << (BITS + 1)) - 1)
+
+
+def meta_features(b: pa.RecordBatch) -> np.ndarray:
     """One row of feature numbers per document."""
-    lang, source, chars, lines, words, signs = (b.column(at + i).to_pylist() for i in range(6))
-    out = np.empty((len(lang), 8), np.int64)
-    for i, (a, s, c, n, w, g) in enumerate(zip(lang, source, chars, lines, words, signs, strict=True)):
+    out = np.empty((b.num_rows, 8), np.int64)
+    for i, (a, s, (c, n, w, g)) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), counted(b.column(3)).tolist(), strict=True)):
         size, line, word, sign = int(2 * np.log2(c + 1)), int(2 * np.log2(c / n + 1)), int(4 * np.log2(c / w + 1)), int(40 * g / (c + 1))
         for j, x in enumerate((f"l{a}", f"s{s}", f"c{size}", f"n{line}", f"w{word}", f"g{sign}", f"c{size}n{line}", f"g{sign}w{word}")):
             out[i, j] = _token(x)
     return out
 
 
+def view_margins(b: pa.RecordBatch, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' margins of a batch of viewed() rows under dense weights."""
+    f, own = features(b.column(3))
+    hit = np.flatnonzero(text[f])
+    code = np.unique(own[hit] << (BITS + 1) | f[hit])
+    s = np.bincount(code >> (BITS + 1), weights=text[code & ((1 << (BITS + 1)) - 1)], minlength=b.num_rows) + text[1 << BITS]
+    return s, meta[meta_features(b)].sum(axis=1) + meta[1 << META_BITS]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, SLICE):
+            yield whole.slice(lo, SLICE)
+
+
+def dense(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both views."""
+    out = np.zeros((1 << BITS) + 1), np.zeros((1 << META_BITS) + 1)
+    for w, name in zip(out, VIEWS, strict=True):
+        w[model[name][0]] = model[name][1]
+    return out
+
+
 _TOKENS: dict[str, int] = {}
 
 
@@ -140,15 +173,11 @@ def version() -> F.Column:
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, text features, metadata features, view that learns from it or null) of with_meta's columns, label and view."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 200):
-            b = whole.slice(lo, 200)
-            f, own = features(b.column(7))
-            code = np.unique(own << (BITS + 1) | f)
-            cuts = np.searchsorted(code >> (BITS + 1), np.arange(b.num_rows + 1))
-            f, meta = (code & ((1 << (BITS + 1)) - 1)).astype("<i4"), meta_features(b).astype("<i4")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(8), pa.array([f[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), b.column(9)], names=["doc_id", "label", "f", "g", "view"])
+    """(doc_id, label, text features, metadata features, view that learns from it or null) of viewed() rows with label and view."""
+    for b in slices(batches):
+        own, f = text_features(b)
+        cuts, f, meta = np.searchsorted(own, np.arange(b.num_rows + 1)), f.astype("<i4"), meta_features(b).astype("<i4")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array([f[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), b.column(5)], names=["doc_id", "label", "f", "g", "view"])
 
 
 def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,35 +197,48 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*out, pa.array([[*m["cal"][0], *m["cal"][1], m["prior"]]], pa.list_(pa.float64())), pa.array([m["share"]], pa.float64())], names=["ta", "tw", "ma", "mw", "cal", "share"])
 
 
-def margins(src: DataFrame, sent: Broadcast, view: int) -> DataFrame:
-    """(doc_id, version, s): a view's margins of src (doc_id, version, text) or (doc_id, version, g binary)."""
+def margins(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(doc_id, version, s_text, s_meta): both views' margins of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = (BITS, META_BITS)[view]
-        w = np.zeros((1 << bits) + 1)
-        w[sent.value[0]] = sent.value[1]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                b = whole.slice(lo, 200)
-                if view:
-                    s = w[np.frombuffer(b"".join(b.column(2).to_pylist()), "<i4").reshape(b.num_rows, -1)].sum(axis=1) if b.num_rows else np.zeros(0)
-                else:
-                    f, own = features(b.column(2))
-                    hit = np.flatnonzero(w[f])
-                    code = np.unique(own[hit] << (BITS + 1) | f[hit])
-                    s = np.bincount(code >> (BITS + 1), weights=w[code & ((1 << (BITS + 1)) - 1)], minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s + w[1 << bits])], names=["doc_id", "version", "s"])
-
-    return src.mapInArrow(run, "doc_id long, version long, s double")
+        w = dense(sent.value)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), *map(pa.array, view_margins(b, *w))], names=["doc_id", "version", "s_text", "s_meta"])
+
+    return viewed(docs, version().alias("version")).mapInArrow(run, "doc_id long, version long, s_text double, s_meta double")
 
 
 def surest(scored: DataFrame, up: int, down: int, taken: set[int]) -> list[tuple[int | None, int, float]]:
-    """(doc_id, version, label) of the texts with the largest and the least margins, copies once, without those taken (versions)."""
-    once = written(scored.groupBy("version").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "s")).alias("k")).select("version", "k.doc_id", "k.s"), "margins")
+    """(doc_id, version, label) of the texts with the largest and the least margins s, copies once, without those taken (versions).
+
+    Every task keeps its own surest versions, so few rows are shuffled however large the table is.
+    """
+    limits = (up + len(taken), down + len(taken))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([("s", "f8"), ("version", "i8"), ("nul", "?"), ("id", "i8")])
+        held = [np.zeros(0, kind), np.zeros(0, kind)]
+        for b in batches:
+            rows = np.zeros(b.num_rows, kind)
+            rows["s"], rows["version"] = b.column(2).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            rows["nul"], rows["id"] = b.column(0).is_null().to_numpy(zero_copy_only=False), b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            for side, sign in enumerate((-1, 1)):
+                x = rows[rows["s"] > 0] if side == 0 else rows[rows["s"] <= 0]
+                x = np.concatenate([held[side], x])
+                x = x[np.lexsort((x["id"], x["nul"], x["version"], sign * x["s"]))]
+                x = x[np.sort(np.unique(x["version"], return_index=True)[1])]
+                held[side] = x[: limits[side]]
+        side = np.repeat(np.arange(2, dtype=np.int32), [len(x) for x in held])
+        x = np.concatenate(held)
+        yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(np.where(x["nul"], 0, x["id"]), mask=x["nul"]), pa.array(x["version"]), pa.array(x["s"])], names=["side", "doc_id", "version", "s"])
+
+    key = F.struct(F.when(F.col("side") == 0, -F.col("s")).otherwise(F.col("s")).alias("s"), F.col("doc_id").isNull().alias("nul"), "doc_id")
+    kept = scored.select("doc_id", "version", "s").mapInArrow(best, "side int, doc_id long, version long, s double")
+    once = written(kept.groupBy("side", "version").agg(F.min(key).alias("k")).select("side", "version", "k.s", "k.doc_id"), "surest")
     out = []
-    for n, label, sign in ((up, 1.0, -1), (down, 0.0, 1)):
-        best = once.where(F.col("s") > 0 if label else F.col("s") <= 0).orderBy(F.col("s") * sign, "version").limit(n + len(taken)).collect()
-        out += [(r.doc_id, r.version, label) for r in best if r.version not in taken][:n]
+    for side, (n, label) in enumerate(((up, 1.0), (down, 0.0))):
+        rows = once.where(F.col("side") == side).orderBy("s", "version").limit(limits[side]).collect()
+        out += [(r.doc_id, r.version, label) for r in rows if r.version not in taken][:n]
     return out
 
 
@@ -205,13 +247,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled_ro
     spark = docs.sparkSession
     named = labels.select("doc_id", F.col(column).cast("double").alias("label")).where("label is not null")
     known = named.where(~held_out())
-    part = lambda share: (F.xxhash64(F.lit(7), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 < int(1_000_000 * min(1.0, share))
     none, shape = F.lit(None).cast("int").alias("view"), "doc_id long, label double, f binary, g binary, view int"
-    rows = with_meta(docs).join(known.where(part(labelled_rows / max(known.count(), 1))), "doc_id").select("*", none)
+    chosen = written(sampled(known, 1, labelled_rows, F.lit(7), "doc_id"), "quality-labels")
+    rows = viewed(docs).join(small(chosen, 2 * labelled_rows), "doc_id").select("*", none)
     feats = written(rows.mapInArrow(gather, shape), "quality-rows")
-    free = docs.select("doc_id", version().alias("version"), F.col("text"))
-    labelled = small(written(named.select("doc_id").distinct(), "labelled"), BROADCAST_ROWS)
-    meta, taken, picked = None, [set(), set()], []
+    labelled = written(named.select("doc_id").distinct(), "labelled")
+    few = labelled.count() <= BROADCAST_ROWS
+    n, taken = None, [set(), set()]
     for k in range(ROUNDS + 1):
         r = feats.repartition(1).mapInArrow(train, "ta binary, tw binary, ma binary, mw binary, cal array<double>, share double").first()
         if r is None:
@@ -219,34 +261,24 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled_ro
         m = {"text": (np.frombuffer(r.ta, "<i8"), np.frombuffer(r.tw, "<f8")), "meta": (np.frombuffer(r.ma, "<i8"), np.frombuffer(r.mw, "<f8")), "cal": list(r.cal)}
         if k == ROUNDS or r.share is None:
             return m
-        if meta is None:
-            meta = written(meta_table(docs).join(labelled, "doc_id", "left_anti"), "quality-meta")
-            n = min(pseudo_rows, int(given * meta.count()))
+        sent = spark.sparkContext.broadcast(m)
+        # labels too many to send along meet the margins and not the texts
+        free = margins(docs.join(F.broadcast(labelled), "doc_id", "left_anti"), sent) if few else margins(docs, sent).join(labelled, "doc_id", "left_anti")
+        free = written(free, "margins")
+        sent.destroy()
+        if n is None:
+            n = min(pseudo_rows, int(given * free.count()))
             up = int(round(n * r.share))
         new = []
-        for v, src in enumerate((free, meta)):
-            sent = spark.sparkContext.broadcast(m[VIEWS[v]])
-            scored = margins(src, sent, v)
-            got = surest(scored if v else scored.join(labelled, "doc_id", "left_anti"), up, n - up, taken[1 - v])
-            sent.destroy()
+        for v, name in enumerate(VIEWS):
+            got = surest(free.withColumn("s", F.col(f"s_{name}")), up, n - up, taken[1 - v])
             taken[1 - v] |= {x[1] for x in got}
             new += [(*x, 1 - v) for x in got]
         if new:
-            chosen = F.broadcast(spark.createDataFrame(new, "own long, version long, label double, view int"))
-            hit = docs.withColumn("__version", version()).join(chosen, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("__version") == chosen["version"])).select(*docs.columns, chosen["label"].alias("__label"), chosen["view"].alias("__view"))
+            told = F.broadcast(spark.createDataFrame(new, "own long, version long, label double, view int"))
+            hit = docs.withColumn("__version", version()).join(told, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("__version") == told["version"])).select(*docs.columns, told["label"].alias("__label"), told["view"].alias("__view"))
             once = hit.dropDuplicates(["doc_id", "text", "__view"])
-            picked.append(written(with_meta(once, keep=("__label", "__view")).mapInArrow(gather, shape), "quality-pseudo"))
-            feats = feats.unionByName(picked[-1])
-
-
-def meta_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, g): the metadata features of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in meta_features(b, 2).astype("<i4")], pa.binary())], names=["doc_id", "version", "g"])
-
-    return with_meta(docs).select("doc_id", version().alias("version"), *META).mapInArrow(run, "doc_id long, version long, g binary")
+            feats = feats.unionByName(written(viewed(once, F.col("__label").alias("label"), F.col("__view").alias("view")).mapInArrow(gather, shape), "quality-pseudo"))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -254,24 +286,16 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        text, meta = np.zeros((1 << BITS) + 1), np.zeros((1 << META_BITS) + 1)
-        text[m["text"][0]], meta[m["meta"][0]] = m["text"][1], m["meta"][1]
-        a1, b1, a2, b2, prior = m["cal"]
+        w = dense(sent.value)
+        a1, b1, a2, b2, prior = sent.value["cal"]
         prob = lambda s: 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                b = whole.slice(lo, 200)
-                f, own = features(b.column(7))
-                hit = np.flatnonzero(text[f])
-                code = np.unique(own[hit] << (BITS + 1) | f[hit])
-                s = np.bincount(code >> (BITS + 1), weights=text[code & ((1 << (BITS + 1)) - 1)], minlength=b.num_rows) + text[1 << BITS]
-                t = meta[meta_features(b)].sum(axis=1) + meta[1 << META_BITS] if b.num_rows else np.zeros(0)
-                s, t = a1 * _margin(s) + b1, a2 * _margin(t) + b2
-                p = prob(s + t - prior)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prob(s)), pa.array(prob(t)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "p_text", "p_meta", "score", "keep"])
-
-    src = with_meta(docs)
+        for b in slices(batches):
+            s, t = view_margins(b, *w)
+            s, t = a1 * _margin(s) + b1, a2 * _margin(t) + b2
+            p = prob(s + t - prior)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prob(s)), pa.array(prob(t)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "p_text", "p_meta", "score", "keep"])
+
+    src = viewed(docs)
     return src.mapInArrow(run, T.StructType([src.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")), T.StructField("keep", T.BooleanType())]))
 
 
