@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingle_sets, small, table, written
+from .common import components, lean, mix, shingle_sets, small, table, written
 
 WORDS, SHARE = 5, 75
 #: Members up to which all pairs of a group are written down, and members of one chunk of a larger group.
@@ -142,7 +142,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n = np.bincount(inv, weights=np.concatenate(c), minlength=len(u)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(u[n >= FREQUENT].view(np.int64)), pa.array(n[n >= FREQUENT])], names=["s", "n"])
 
-    found = written(docs.select("text").mapInArrow(spread, "part int, s binary, c binary").repartition(64, "part").mapInArrow(total, "s long, n long"), "frequent")
+    found = written(docs.select("text").mapInArrow(lean(spread), "part int, s binary, c binary").repartition(64, "part").mapInArrow(lean(total), "s long, n long"), "frequent")
     least, held = FREQUENT, 0
     for n, rows in sorted(found.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), reverse=True):
         held += rows
@@ -169,7 +169,7 @@ def shingle_table(docs: DataFrame, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.int64()) for x in (n, ids, checks))], names=["doc_id", "version", "n_shingles", "node", "check"])
 
     version = F.xxhash64(F.coalesce("text", F.lit(""))).alias("version")
-    return docs.select("doc_id", "text", version).mapInArrow(run, "doc_id long, version long, n_shingles long, node long, check long")
+    return docs.select("doc_id", "text", version).mapInArrow(lean(run), "doc_id long, version long, n_shingles long, node long, check long")
 
 
 def meetings(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, np.ndarray], buckets: int, salts: int = 1) -> DataFrame:
@@ -265,7 +265,7 @@ def meetings(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, np.ndarray]
                 chunks = [m[lo : lo + CHUNK].tolist() for lo in range(0, len(m), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.array([gid] * len(chunks)), pa.array(chunks, pa.list_(pa.int64()))], names=["a", "b", "gid", "members"])
 
-    return docs.select("text").mapInArrow(spread, "bucket int, nodes binary, counts binary, keys binary").repartition(buckets, "bucket").mapInArrow(meet, "a long, b long, gid long, members array<long>")
+    return docs.select("text").mapInArrow(lean(spread), "bucket int, nodes binary, counts binary, keys binary").repartition(buckets, "bucket").mapInArrow(lean(meet), "a long, b long, gid long, members array<long>")
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -307,7 +307,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
                 rows = [(i, len(s), sketch(s).tobytes(), s.tobytes()) for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), WORDS), strict=True) if len(s) and set_id(s, seed)[0] == i]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "sketch", "elements"])
 
-    return written(src.mapInArrow(run, "node long, n long, sketch binary, elements binary"), "sets")
+    return written(src.mapInArrow(lean(run), "node long, n long, sketch binary, elements binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     ok = [test(x, y, n, m) for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("x_a", "x_b", "n_a", "n_b")), strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return written(both.mapInArrow(run, "a long, b long"), "verified")
+        return written(both.mapInArrow(lean(run), "a long, b long"), "verified")
 
     near = kept(pairs, "sketch", lambda x, y, n, m: may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n, m))
     return kept(near, "elements", lambda x, y, n, m: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, table
 
 #: Segments that the table of one Python worker holds before it starts anew.
 TABLE_SIZE = 800_000
@@ -149,7 +149,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 decoded = [c.library.decode(x.tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays([*(b.column(x) for x in rest), lists, pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

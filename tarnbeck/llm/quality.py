@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, small, table, texts_of, written
+from .common import held_out, lean, small, table, texts_of, written
 from .toxicity import BITS, Ftrl, features, sampled
 
 #: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key), pseudo-labels that a view gives in
@@ -205,7 +205,7 @@ def margins(docs: DataFrame, sent: Broadcast) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), *map(pa.array, view_margins(b, *w))], names=["doc_id", "version", "s_text", "s_meta"])
 
-    return viewed(docs, version().alias("version")).mapInArrow(run, "doc_id long, version long, s_text double, s_meta double")
+    return viewed(docs, version().alias("version")).mapInArrow(lean(run), "doc_id long, version long, s_text double, s_meta double")
 
 
 def surest(scored: DataFrame, up: int, down: int, taken: set[int]) -> list[tuple[int | None, int, float]]:
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled_ro
     few = labelled.count() <= BROADCAST_ROWS
     n, taken = None, [set(), set()]
     for k in range(ROUNDS + 1):
-        r = feats.repartition(1).mapInArrow(train, "ta binary, tw binary, ma binary, mw binary, cal array<double>, share double").first()
+        r = feats.repartition(1).mapInArrow(lean(train), "ta binary, tw binary, ma binary, mw binary, cal array<double>, share double").first()
         if r is None:
             return {"text": (np.zeros(0, np.int64), np.zeros(0)), "meta": (np.zeros(0, np.int64), np.zeros(0)), "cal": [0.0] * 5}
         m = {"text": (np.frombuffer(r.ta, "<i8"), np.frombuffer(r.tw, "<f8")), "meta": (np.frombuffer(r.ma, "<i8"), np.frombuffer(r.mw, "<f8")), "cal": list(r.cal)}
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prob(s)), pa.array(prob(t)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "p_text", "p_meta", "score", "keep"])
 
     src = viewed(docs)
-    return src.mapInArrow(run, T.StructType([src.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")), T.StructField("keep", T.BooleanType())]))
+    return src.mapInArrow(lean(run), T.StructType([src.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")), T.StructField("keep", T.BooleanType())]))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

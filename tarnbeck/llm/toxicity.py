@@ -12,6 +12,7 @@ without labelled rows every score is 0.5. Columns called score or predicted are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIGNS, held_out, mix, small, table, texts_of, word_hashes, written
+from .common import SIGNS, held_out, lean, mix, small, table, texts_of, word_hashes, written
 
 BITS = 20
 #: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key).
@@ -88,7 +89,7 @@ def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passe
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(k or 0, np.frombuffer(f, "<i4"), y) for b in batches for k, y, f in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-        seen.sort(key=lambda x: (x[0], x[2], x[1].tobytes()))
+        seen.sort(key=lambda x: (x[0], x[2], zlib.crc32(x[1])))
         model, order, bias = Ftrl(bits), np.random.default_rng(seed), np.array([1 << bits], np.int64)
         for _ in range(passes):
             for i in order.permutation(len(seen)):
@@ -96,7 +97,7 @@ def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passe
         at, w = model.sparse()
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()]), pa.array([w.astype("<f8").tobytes()])], names=["at", "w"])
 
-    got = written(rows.mapInArrow(gather, "doc_id long, label double, f binary"), "ftrl-rows").repartition(1).mapInArrow(train, "at binary, w binary").first()
+    got = written(rows.mapInArrow(lean(gather), "doc_id long, label double, f binary"), "ftrl-rows").repartition(1).mapInArrow(lean(train), "at binary, w binary").first()
     return (np.frombuffer(got.at, "<i8"), np.frombuffer(got.w, "<f8")) if got else (np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -121,7 +122,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
 
     src = docs.select(*rest, F.col(text).alias("__text"))
     schema = T.StructType([*docs.select(*rest).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
