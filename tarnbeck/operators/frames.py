@@ -42,6 +42,12 @@ def interpolated(df: DataFrame, by: str, order: str, column: str) -> DataFrame:
     return d.withColumn(column, F.coalesce(F.col(column), line, F.col("__a"))).drop("__i", "__a", "__b", "__ia", "__ib")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over the session's cores if its scan has fewer tasks, as a file of one row group has; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ewm_mean(df: DataFrame, by: str, order: str, column: str, alpha: float) -> DataFrame:
     """(by, order, ewm): exponentially weighted mean with adjusted weights; rows stream in order, the state is two numbers."""
     kinds = dict(df.dtypes)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbeck.functions.text import NEAR_DUP_BAND, answers_agree, char_ngrams, jaccard, normalise_question, tokens
 
-#: Broadcast no key set of more rows than this.
-BROADCAST_ROWS = 1_000_000
-
-
 def held_out_keys(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """(name, value): distinct keys that are not null or empty."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in keys.items())))
@@ -50,25 +46,32 @@ def near_duplicate_pairs(subject: DataFrame, reference: DataFrame, band: tuple[f
     """(s_id, r_id, jaccard, ngram): pairs of (id, question) with both similarities at or over the band.
 
     Prefix-filtered: of sets with token similarity t, the first n - ceil(t n) + 1 tokens in a common order have one in
-    common, so rare tokens alone are joined on, with the size bound in the join. The order is by document frequency.
+    common, so rare tokens alone are joined on, with the size bound in the join. The order is by frequency in the reference,
+    tokens that it lacks first: those join nothing, and a subject with so many of them that they fill its prefix goes at
+    once, as does one that is too large or too small for every reference row. The normal forms are made again for the few
+    pairs that meet.
     """
     t = band[0]
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"{p}_id"), normalise_question(F.col("question")).alias(f"{p}_norm"), tokens(F.col("question")).alias(f"{p}_tokens")).where(F.size(f"{p}_tokens") > 0)
-
-    s, r = side(subject, "s"), side(reference, "r")
-    freq = s.select(F.explode("s_tokens").alias("token")).unionByName(r.select(F.explode("r_tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
+    r = reference.select(F.col("id").alias("r_id"), tokens(F.col("question")).alias("tokens")).withColumn("r_n", F.size("tokens")).where("r_n > 0")
+    s = subject.select(F.col("id").alias("s_id"), tokens(F.col("question")).alias("tokens")).withColumn("s_n", F.size("tokens")).where("s_n > 0")
+    least, most = r.agg(F.min("r_n"), F.max("r_n")).first()
+    if least is None:
+        least, most = 1, 0
+    s = s.where((F.col("s_n") >= F.lit(t) * least - 1e-9) & (F.col("s_n") * F.lit(t) <= most + 1e-9))
+    freq = r.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
     def prefix(df: DataFrame, p: str) -> DataFrame:
-        each = df.select(f"{p}_id", F.size(f"{p}_tokens").alias(f"{p}_n"), F.explode(f"{p}_tokens").alias("token")).join(freq, "token")
-        w = Window.partitionBy(f"{p}_id").orderBy("df", "token")
-        keep = F.col(f"{p}_n") - F.ceil(F.lit(t) * F.col(f"{p}_n") - 1e-9) + 1
-        return each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep).select(f"{p}_id", f"{p}_n", "token")
+        known = df.select(f"{p}_id", f"{p}_n", F.explode("tokens").alias("token")).join(freq, "token")
+        each = known.groupBy(f"{p}_id", f"{p}_n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("known"))
+        length = F.col(f"{p}_n") - F.ceil(F.lit(t) * F.col(f"{p}_n") - 1e-9) + 1
+        left = length - (F.col(f"{p}_n") - F.size("known"))
+        return each.select(f"{p}_id", f"{p}_n", F.explode(F.slice("known", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))["token"]).alias("token"))
 
     size_ok = (F.least("s_n", "r_n") >= F.lit(t) * F.greatest("s_n", "r_n") - 1e-9)
     pairs = prefix(s, "s").join(prefix(r, "r"), "token").where(size_ok).select("s_id", "r_id").distinct()
-    full = pairs.join(s, "s_id").join(r, "r_id")
+    text = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("question").alias(f"{p}_text"))
+    full = pairs.join(text(subject, "s"), "s_id").join(text(reference, "r"), "r_id")
+    full = full.select("s_id", "r_id", *(f(F.col(f"{p}_text")).alias(f"{p}_{n}") for p in "sr" for n, f in (("norm", normalise_question), ("tokens", tokens))))
     if exclude_exact:
         full = full.where("s_norm <> r_norm")
     scored = full.withColumn("jaccard", jaccard(F.col("s_tokens"), F.col("r_tokens"))).where(F.col("jaccard") >= t)
@@ -84,10 +87,17 @@ def sensitivity(pairs: DataFrame, bands: tuple[tuple[float, float], ...] = NEAR_
 
 
 def disagreements(subject: DataFrame, reference: DataFrame) -> DataFrame:
-    """(s_id, r_id, s_answer, r_answer): pairs of equal normal form whose answers (id, question, answer) differ."""
-    s = subject.select(F.col("id").alias("s_id"), normalise_question(F.col("question")).alias("norm"), F.col("answer").alias("s_answer"))
-    r = reference.select(F.col("id").alias("r_id"), normalise_question(F.col("question")).alias("norm"), F.col("answer").alias("r_answer"))
-    return s.join(r, "norm").where(~answers_agree(F.col("s_answer"), F.col("r_answer"))).select("s_id", "r_id", "s_answer", "r_answer")
+    """(norm, s_answer, r_answer, s_id, r_id, s_rows, r_rows): answers that differ under an equal normal form that is not empty.
+
+    One row for every two answers, with the least id and the number of rows that give each, so copies make no pairs.
+    """
+
+    def answers(df: DataFrame, p: str) -> DataFrame:
+        each = df.select("id", normalise_question(F.col("question")).alias("norm"), F.col("answer").alias(f"{p}_answer")).where("norm <> ''")
+        return each.groupBy("norm", f"{p}_answer").agg(F.min("id").alias(f"{p}_id"), F.count("*").alias(f"{p}_rows"))
+
+    both = answers(subject, "s").join(answers(reference, "r"), "norm").where(~answers_agree(F.col("s_answer"), F.col("r_answer")))
+    return both.select("norm", "s_answer", "r_answer", "s_id", "r_id", "s_rows", "r_rows")
 
 
 def distinct_on_shared(subject: DataFrame, reference: DataFrame, key: str, limit: int = 10) -> DataFrame:

@@ -56,9 +56,10 @@ def describe_table(df: DataFrame) -> DataFrame:
             shapes = s if shapes is None else shapes.unionByName(s)
     p = p.join(shapes, "column", "left") if shapes is not None else p.withColumn("shape", F.lit(None).cast("string"))
     seen = presence(F.col("missing"), F.col("total"))
-    spread = F.when(F.col("distinct") == 1, "constant").otherwise(phrase(F.col("distinct"), DISTINCT_STEPS))
+    spread = phrase(F.col("distinct"), DISTINCT_STEPS)
+    name = F.when(F.col("distinct") == 1, "constant text").otherwise("text")
     words = F.when(F.col("kind") == "numeric", F.concat_ws(", ", F.lit("numeric"), seen, "shape")).when(F.col("kind") != "text", F.concat_ws(", ", "kind", seen)).otherwise(
-        F.concat_ws(", ", F.lit("text"), seen, F.when(F.col("distinct") > 0, spread), F.when(F.col("distinct") > 1, F.when(F.col("longest") <= 20, "short labels").otherwise("long labels"))))
+        F.concat_ws(", ", name, seen, F.when(F.col("distinct") > 1, spread), F.when(F.col("distinct") > 1, F.when(F.col("longest") <= 20, "short labels").otherwise("long labels"))))
     return p.select("column", words.alias("profile"))
 
 

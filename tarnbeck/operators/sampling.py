@@ -36,7 +36,7 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> Da
     ranked = rows.select(key, stratum, draw_key(seed, F.col(stratum), F.col(key)).alias("__h"))
     # the bound on the rank is pushed below the shuffle: each task sends at most n rows of a stratum
     w = Window.partitionBy(stratum).orderBy("__h", key)
-    return ranked.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).join(F.broadcast(q), stratum).where("__n <= quota").select(key, stratum)
+    return ranked.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).join(q, stratum).where("__n <= quota").select(key, stratum)
 
 
 def split_by_hash(rows: DataFrame, position: Column, fraction: float, seed: int) -> DataFrame:

@@ -75,7 +75,9 @@ def control_grouping_sets(spark, d):
 
 def common_set_report(spark, d):
     t = trial_rows(spark, d)
-    return r6(trials.common_set(t, ("L1", "L2", "L3"), t.where("task % 7 = 0").select("task").distinct()), "pass_rate")
+    # tasks that never gave the answer 2 are left out
+    gave = t.groupBy("task").agg(F.max((F.col("prediction") == 2).cast("int")).alias("gave"))
+    return r6(trials.common_set(t, ("L1", "L2", "L3"), gave.where("gave = 0").select("task")), "pass_rate")
 
 
 def bootstrap_ci(spark, d):
@@ -226,7 +228,7 @@ ORACLE = {
     "ceiling": f"WITH {TRIALS}, c AS (SELECT task, count(*) FILTER (finished AND rung = 'L1') AS n, min(passed) FILTER (finished AND rung = 'L1') AS ok FROM t GROUP BY task) SELECT count(*) FILTER (n >= 2 AND ok) AS passed_all, count(*) FILTER (n >= 2 AND NOT ok) AS failed_once, count(*) FILTER (n < 2) AS unmeasured FROM c",
     "headroom_curve": f"WITH {TRIALS}, h AS (SELECT task FROM t WHERE finished AND rung = 'L1' GROUP BY task HAVING count(*) >= 2 AND NOT min(passed)), u AS (SELECT * FROM t WHERE task IN (SELECT task FROM h)), " + STATS.format(by="rung", src="u"),
     "control_grouping_sets": f"WITH {TRIALS}, c AS (SELECT task, has_reference, max(passed) AS ok FROM t WHERE finished GROUP BY ALL) SELECT has_reference, count(*) AS attempted, count(*) FILTER (ok) AS rescued FROM c GROUP BY GROUPING SETS ((), (has_reference))",
-    "common_set_report": f"WITH {TRIALS}, h AS (SELECT task FROM t WHERE finished AND rung IN ('L1', 'L2', 'L3') AND task % 7 <> 0 GROUP BY task HAVING count(DISTINCT rung) = 3), u AS (SELECT * FROM t WHERE rung IN ('L1', 'L2', 'L3') AND task IN (SELECT task FROM h)), " + STATS.format(by="rung", src="u"),
+    "common_set_report": f"WITH {TRIALS}, h AS (SELECT task FROM t WHERE finished AND rung IN ('L1', 'L2', 'L3') AND task IN (SELECT task FROM t WHERE prediction = 2) GROUP BY task HAVING count(DISTINCT rung) = 3), u AS (SELECT * FROM t WHERE rung IN ('L1', 'L2', 'L3') AND task IN (SELECT task FROM h)), " + STATS.format(by="rung", src="u"),
     "retry_agreement": f"WITH {TRIALS}, c AS (SELECT task, count(DISTINCT prediction) AS a, count(*) AS n, max(passed) AS ok FROM t WHERE finished GROUP BY task) SELECT CASE WHEN n < 2 THEN 'single' WHEN a > 1 THEN 'disagree' WHEN ok THEN 'agree right' ELSE 'agree wrong' END AS outcome, count(*) AS tasks FROM c GROUP BY 1",
     "climb_gaps": f"""WITH {TRIALS.replace('t AS (', 't0 AS (')}, t AS (SELECT * FROM t0 WHERE NOT (rung = 'L1' AND has_reference)), {WIDE}, x AS (SELECT DISTINCT task FROM t), y AS (SELECT x.task, l1, l2, l3, l4, coalesce(l1, 0) > 0.5 AS p1, coalesce(l2, 0) > 0.5 AS p2, coalesce(l3, 0) > 0.5 AS p3, coalesce(l4, 0) > 0.5 AS p4 FROM x LEFT JOIN w USING (task))
         SELECT task, 'L1' AS gap FROM y WHERE l1 IS NULL AND (p2 OR p3 OR p4) UNION ALL SELECT task, 'L2' FROM y WHERE l2 IS NULL AND NOT p1 AND (p3 OR p4) UNION ALL SELECT task, 'L3' FROM y WHERE l3 IS NULL AND NOT (p1 OR p2) AND p4""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import stats
 from tarnbeck.functions import text as T
-from tarnbeck.operators import conversations, overlap, pool, sampling
+from tarnbeck.operators import conversations, frames, overlap, pool, sampling
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,7 +47,9 @@ def exact_dups(spark, d):
 
 def _near(spark, d) -> DataFrame:
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
-    return overlap.near_duplicate_pairs(questions(spark, d), items, exclude_exact=False)
+    # beside the documents, the items without their first word
+    edited = items.select((-1 - F.col("id")).alias("id"), F.regexp_replace("question", r"^\S+\s+", "").alias("question"))
+    return overlap.near_duplicate_pairs(frames.spread(questions(spark, d).select("id", "question")).unionByName(edited), items, exclude_exact=False)
 
 
 def near_dups(spark, d):
@@ -80,7 +82,7 @@ def firewall_drop_reasons(spark, d):
 
 
 def disagreements_same_key(spark, d):
-    q = questions(spark, d).join(read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label")), "id").drop("answer").withColumnRenamed("label", "answer")
+    q = questions(spark, d).select("id", "question", F.col("table").alias("answer"))
     return overlap.disagreements(q, q)
 
 
@@ -107,8 +109,9 @@ def pool_kept(spark, d):
 
 def regex_tags(spark, d):
     # patterns without look-around mean the same to all engines on ASCII text
-    t = F.regexp_replace("text", r"[^\x20-\x7E]", " ")
-    return read(spark, d, "documents").select("doc_id", T.op_family(t).alias("family"), F.array_join(T.nondeterminism_reasons(t), ",").alias("nondeterminism"), F.array_join(T.compact(*(F.when(t.rlike(p), F.lit(n)) for n, p in T.AMBIGUOUS)), ",").alias("ambiguity"))
+    docs = frames.spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", r"[^\x20-\x7E]", " ").alias("t"))
+    t = F.col("t")
+    return docs.select("doc_id", T.op_family(t).alias("family"), F.array_join(T.nondeterminism_reasons(t), ",").alias("nondeterminism"), F.array_join(T.compact(*(F.when(t.rlike(p), F.lit(n)) for n, p in T.AMBIGUOUS)), ",").alias("ambiguity"))
 
 
 def leak_check(spark, d):
@@ -203,7 +206,7 @@ QUERIES = {f.__name__: f for f in (
 )} | {"cohens_kappa": _kappa}
 
 N = NORM.format(c="text")
-TITLES = f"""sa AS (SELECT doc_id AS id, {N} AS n FROM documents), ra AS (SELECT item_id AS id, {N} AS n FROM benchmark),
+TITLES = f"""sa AS (SELECT doc_id AS id, {N} AS n FROM documents UNION ALL SELECT -1 - item_id, {NORM.format(c="regexp_replace(text, '^" + chr(92) + "S+" + chr(92) + "s+', '')")} FROM benchmark), ra AS (SELECT item_id AS id, {N} AS n FROM benchmark),
 s AS (SELECT id, n, {TOKENS.format(n='n')} AS t FROM sa), r AS (SELECT id, n, {TOKENS.format(n='n')} AS t FROM ra),
 sx AS (SELECT id, unnest(t) AS w FROM s), rx AS (SELECT id, unnest(t) AS w FROM r), c AS (SELECT sx.id AS s_id, rx.id AS r_id, count(*) AS k FROM sx JOIN rx USING (w) GROUP BY ALL),
 j AS (SELECT s_id, r_id, k / (len(s.t) + len(r.t) - k) AS jaccard, s.n AS sn, r.n AS rn FROM c JOIN s ON s.id = s_id JOIN r ON r.id = r_id),
@@ -233,7 +236,7 @@ ORACLE = {
     "near_dup_sensitivity": f"WITH {TITLES}, u AS (SELECT * FROM (VALUES (0.9::DOUBLE, 0.8::DOUBLE), (0.8, 0.6), (0.7, 0.5), (0.6, 0.4)) v(jaccard_floor, ngram_floor)) SELECT jaccard_floor, ngram_floor, count(s_id) AS pairs FROM u LEFT JOIN q ON jaccard >= jaccard_floor AND ngram >= ngram_floor GROUP BY ALL",
     "decontaminate_firewall": f"WITH {HELD} SELECT doc_id FROM f WHERE reason IS NULL",
     "firewall_drop_reasons": f"WITH {HELD} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM f GROUP BY 1",
-    "disagreements_same_key": f"WITH q AS (SELECT doc_id AS id, {N} AS n, CAST(quality AS VARCHAR) AS answer FROM documents JOIN labels USING (doc_id)) SELECT s.id AS s_id, r.id AS r_id, s.answer AS s_answer, r.answer AS r_answer FROM q s JOIN q r ON s.n = r.n WHERE s.answer <> r.answer",
+    "disagreements_same_key": f"WITH q AS (SELECT doc_id AS id, {N} AS norm, source AS answer FROM documents), a AS (SELECT norm, answer, min(id) AS id, count(*) AS rows FROM q WHERE norm <> '' GROUP BY ALL) SELECT s.norm, s.answer AS s_answer, r.answer AS r_answer, s.id AS s_id, r.id AS r_id, s.rows AS s_rows, r.rows AS r_rows FROM a s JOIN a r USING (norm) WHERE coalesce(s.answer, '') <> coalesce(r.answer, '')",
     "distinct_on_shared_key": f"WITH q AS (SELECT doc_id AS id, {N} AS n, source FROM documents), s AS (SELECT source, min(id) AS s_id, arg_min(n, id) AS n FROM q WHERE id IN (SELECT doc_id FROM labels) GROUP BY source) SELECT s.source, s_id, min(q.id) AS r_id FROM s JOIN q ON q.source = s.source AND q.id NOT IN (SELECT doc_id FROM labels) AND q.n <> s.n GROUP BY ALL ORDER BY s.source LIMIT 10",
     "pool_funnel_counts": f"WITH {FUNNEL} SELECT coalesce(reason, 'kept') AS exit_reason, count(*) AS n FROM k GROUP BY 1",
     "pool_kept": f"WITH {FUNNEL} SELECT doc_id FROM k WHERE reason IS NULL",

@@ -6,6 +6,8 @@ so that paths in any store work.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ SNIFF_LINES = 50
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """The separator that the suffix suggests, or the first other one, that gives the head of a file more than one column."""
+    """The separator that the suffix suggests, or the first other one, that gives the head of a file more than one column.
+
+    A separator within quotes splits nothing.
+    """
     preferred = "\t" if path.lower().endswith((".tsv", ".tab")) else ","
     head = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
     for sep in dict.fromkeys((preferred, *SEPARATORS)):
-        if head and sep in head[0]:
+        if head and len(next(csv.reader(head[:1], delimiter=sep), [])) > 1:
             return sep
     return preferred
 
