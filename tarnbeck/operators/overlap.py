@@ -46,10 +46,10 @@ def near_duplicate_pairs(subject: DataFrame, reference: DataFrame, band: tuple[f
     """(s_id, r_id, jaccard, ngram): pairs of (id, question) with both similarities at or over the band.
 
     Prefix-filtered: of sets with token similarity t, the first n - ceil(t n) + 1 tokens in a common order have one in
-    common, so rare tokens alone are joined on, with the size bound in the join. The order is by frequency in the reference,
-    tokens that it lacks first: those join nothing, and a subject with so many of them that they fill its prefix goes at
-    once, as does one that is too large or too small for every reference row. The normal forms are made again for the few
-    pairs that meet.
+    common, so rare tokens alone are joined on, with the size bound in the join. The order is by frequency, tokens that the
+    reference lacks first: those join nothing, and a subject with so many of them that they fill its prefix goes at once,
+    as does one that is too large or too small for every reference row. Token sets are compared first; normal forms are
+    made again only for the pairs that pass.
     """
     t = band[0]
     r = reference.select(F.col("id").alias("r_id"), tokens(F.col("question")).alias("tokens")).withColumn("r_n", F.size("tokens")).where("r_n > 0")
@@ -58,23 +58,26 @@ def near_duplicate_pairs(subject: DataFrame, reference: DataFrame, band: tuple[f
     if least is None:
         least, most = 1, 0
     s = s.where((F.col("s_n") >= F.lit(t) * least - 1e-9) & (F.col("s_n") * F.lit(t) <= most + 1e-9))
-    freq = r.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    each = lambda df, *kept: df.select(*kept, F.explode("tokens").alias("token"))
+    mine = each(r).groupBy("token").agg(F.count("*").alias("df"))
+    freq = each(s).join(mine.select("token"), "token", "left_semi").groupBy("token").agg(F.count("*").alias("more"))
+    freq = mine.join(freq, "token", "left").select("token", (F.col("df") + F.coalesce("more", F.lit(0))).alias("df"))
 
     def prefix(df: DataFrame, p: str) -> DataFrame:
-        known = df.select(f"{p}_id", f"{p}_n", F.explode("tokens").alias("token")).join(freq, "token")
-        each = known.groupBy(f"{p}_id", f"{p}_n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("known"))
+        known = each(df, f"{p}_id", f"{p}_n").join(freq, "token")
+        rows = known.groupBy(f"{p}_id", f"{p}_n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("known"))
         length = F.col(f"{p}_n") - F.ceil(F.lit(t) * F.col(f"{p}_n") - 1e-9) + 1
         left = length - (F.col(f"{p}_n") - F.size("known"))
-        return each.select(f"{p}_id", f"{p}_n", F.explode(F.slice("known", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))["token"]).alias("token"))
+        return rows.select(f"{p}_id", f"{p}_n", F.explode(F.slice("known", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))["token"]).alias("token"))
 
     size_ok = (F.least("s_n", "r_n") >= F.lit(t) * F.greatest("s_n", "r_n") - 1e-9)
     pairs = prefix(s, "s").join(prefix(r, "r"), "token").where(size_ok).select("s_id", "r_id").distinct()
-    text = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("question").alias(f"{p}_text"))
-    full = pairs.join(text(subject, "s"), "s_id").join(text(reference, "r"), "r_id")
-    full = full.select("s_id", "r_id", *(f(F.col(f"{p}_text")).alias(f"{p}_{n}") for p in "sr" for n, f in (("norm", normalise_question), ("tokens", tokens))))
+    sets = lambda df, p: df.select(f"{p}_id", F.col("tokens").alias(f"{p}_tokens"))
+    close = pairs.join(sets(s, "s"), "s_id").join(sets(r, "r"), "r_id").select("s_id", "r_id", jaccard(F.col("s_tokens"), F.col("r_tokens")).alias("jaccard")).where(F.col("jaccard") >= t)
+    norm = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), normalise_question(F.col("question")).alias(f"{p}_norm"))
+    scored = close.join(norm(subject, "s"), "s_id").join(norm(reference, "r"), "r_id")
     if exclude_exact:
-        full = full.where("s_norm <> r_norm")
-    scored = full.withColumn("jaccard", jaccard(F.col("s_tokens"), F.col("r_tokens"))).where(F.col("jaccard") >= t)
+        scored = scored.where("s_norm <> r_norm")
     scored = scored.withColumn("ngram", jaccard(char_ngrams(F.col("s_norm")), char_ngrams(F.col("r_norm")))).where(F.col("ngram") >= band[1])
     return scored.select("s_id", "r_id", "jaccard", "ngram")
 
