@@ -215,6 +215,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE = {
+    "ewm": "WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT a.user_id, a.event_id, round(sum(b.value * pow(0.7, a.i - b.i)) / sum(CASE WHEN b.value IS NOT NULL THEN pow(0.7, a.i - b.i) END), 6) AS ewm FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY ALL",
     "two_level_pass_rate": f"WITH {TRIALS}, " + STATS.format(by="rung", src="t"),
     "first_passing_rung_hist": f"""WITH {TRIALS}, {WIDE}, x AS (SELECT DISTINCT task FROM t), b AS (SELECT CASE WHEN l1 > 0.5 THEN 'L1' WHEN l2 > 0.5 THEN 'L2' WHEN l3 > 0.5 THEN 'L3' WHEN l4 > 0.5 THEN 'L4'
         WHEN coalesce(l1, l2, l3, l4) IS NULL THEN 'not scored' ELSE 'never' END AS bucket FROM x LEFT JOIN w USING (task)), n AS (SELECT unnest(['L1', 'L2', 'L3', 'L4', 'never', 'not scored']) AS bucket)

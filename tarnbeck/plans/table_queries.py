@@ -194,7 +194,26 @@ DECILE = """{n} AS (SELECT CAST({c} AS DOUBLE) AS v FROM {t} WHERE {c} IS NOT NU
 NUM = "try_cast({c} AS DOUBLE)"
 MODE = "WITH c AS (SELECT {c} AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL{w} GROUP BY 1), m AS (SELECT v FROM c WHERE n = (SELECT max(n) FROM c)) SELECT CASE WHEN count(*) = 1 THEN max(v) END AS value FROM m"
 
+_PRESENCE = "CASE WHEN t = n THEN 'all values present' WHEN n = 0 THEN 'no values present' WHEN (t - n) * 100 < t THEN 'a few values missing' WHEN (t - n) * 2 < t THEN 'some values missing' ELSE 'most values missing' END"
+_SPREAD = "CASE WHEN d < 3 THEN 'a couple of distinct values' WHEN d < 6 THEN 'a few distinct values' WHEN d < 13 THEN 'a handful of distinct values' WHEN d < 51 THEN 'many distinct values' ELSE 'a different value in most rows' END"
+
+
+def _counts(table: str, c: str, kind: str) -> str:
+    return f"SELECT '{c}' AS \"column\", '{kind}' AS kind, count({c}) AS n, count(DISTINCT {c}) AS d, count(*) AS t, max(length(CAST({c} AS VARCHAR))) AS l FROM {table}"
+
+
+def _shape(table: str, c: str) -> str:
+    bands = f"SELECT len([x for x in e if x < {c}]) AS band, count(*) AS k FROM {table}, (SELECT list_distinct([x for x in quantile_cont({c}::DOUBLE, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) if x <> 0]) AS e FROM {table}) WHERE {c} IS NOT NULL GROUP BY 1"
+    return f"SELECT '{c}' AS \"column\", max(k) / sum(k) AS w FROM ({bands})"
+
+
+_CUSTOMER = {"c_custkey": "numeric", "c_name": "text", "c_nationkey": "numeric", "c_acctbal": "numeric", "c_mktsegment": "text"}
+_PART = {"p_partkey": "numeric", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "numeric", "p_retailprice": "numeric"}
 ORACLE = {
+    "profile_words": f"""WITH c AS ({' UNION ALL '.join(_counts('customer', c, k) for c, k in _CUSTOMER.items())}), s AS ({' UNION ALL '.join(_shape('customer', c) for c, k in _CUSTOMER.items() if k == 'numeric')})
+        SELECT "column", CASE WHEN kind = 'numeric' THEN concat_ws(', ', 'numeric', {_PRESENCE}, CASE WHEN w > 0.5 THEN 'almost all its values in one band' WHEN w < 0.25 THEN 'spread evenly across its range' ELSE 'spread across its range, heaviest in one band' END)
+        WHEN d = 1 THEN concat_ws(', ', 'constant text', {_PRESENCE}) WHEN d = 0 THEN concat_ws(', ', 'text', {_PRESENCE}) ELSE concat_ws(', ', 'text', {_PRESENCE}, {_SPREAD}, CASE WHEN l <= 20 THEN 'short labels' ELSE 'long labels' END) END AS profile FROM c LEFT JOIN s USING ("column")""",
+    "usable_columns": f"""WITH c AS ({' UNION ALL '.join(_counts('part', c, k) for c, k in _PART.items())}), u AS (SELECT "column", CASE WHEN kind = 'numeric' AND n > 20 AND d > 3 THEN 'measure' WHEN kind = 'text' AND n > 20 AND d BETWEEN 2 AND 60 AND n * 2 > t THEN 'group' END AS use FROM c) SELECT * FROM u WHERE use IS NOT NULL""",
     "integrity_mixed_cells": "WITH c AS (SELECT l_orderkey, count(DISTINCT l_returnflag)::INT AS n_l_returnflag, count(DISTINCT l_linestatus)::INT AS n_l_linestatus FROM lineitem GROUP BY 1) SELECT n_l_returnflag, n_l_linestatus, count(*) AS orders FROM c WHERE greatest(n_l_returnflag, n_l_linestatus) > 1 GROUP BY ALL",
     "stratified_subset": """WITH c AS (SELECT o_orderpriority AS s, count(*) AS size FROM orders GROUP BY 1), e AS (SELECT s, size, 101.0 * size / sum(size) OVER () AS x FROM c),
         b AS (SELECT *, floor(x) AS base, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, s) AS r FROM e), q AS (SELECT s, least(size, base + CASE WHEN r <= 101 - sum(base) OVER () THEN 1 ELSE 0 END) AS quota FROM b),
