@@ -56,3 +56,32 @@ def test_stages_keep_their_columns(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() <= 40, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "sentencepiece"]
+
+
+def tables(spark, path, docs, items, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [], [], [])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and {"doc_id", "ids", "decoded"} <= set(got.columns)
+
+
+def test_null_keys_and_no_labels(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = [(None, base, None, None, None), (None, base, "en", "s", 5), (None, base + " more", "en", "s", 5), (7, base, "en", "s", 5), (8, None, None, None, None), (8, "", "en", "s", 0), (None, None, None, None, None)]
+    tables(spark, tmp_path, docs, [(None, None), (1, "")], [(None, None, None), (7, None, None)])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # without labels every score is the tie 0.5, which counts as toxic
+    assert got == []
+    tables(spark, tmp_path / "b", docs, [(None, None), (1, "")], [(i, 0, i % 2) for i in range(100, 300)])
+    import os
+
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        kept = stage(spark, kept, str(tmp_path / "b"))
+    rows = {(r.doc_id, r.decoded) for r in kept.collect()}
+    assert (7, base) in rows and len([r for r in rows if r[1]]) == 1 and (8, "") in rows and os.path.exists(tmp_path)

@@ -275,3 +275,35 @@ def test_overlaps_of_nothing(spark):
     none, some = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert D.overlaps(some, none).count() == 0
     assert D.overlaps(some.limit(0), some.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_overlaps_in_long_texts_and_beside_clashing_columns(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    long_ = "filler words " * 100_000 + item + " rest" * 100_000
+    d = spark.createDataFrame([(1, long_), (2, "short"), (None, item), (None, item)], "doc_id long, text string").withColumn("item", F.lit("clash")).withColumn("seed", F.lit(1)).withColumn("key", F.lit("k"))
+    b = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.doc_start, r.n_equal) for r in D.overlaps(d, b).collect()}
+    assert got == {(1, 9, 200_000, 20), (None, 9, 0, 20)}
+    kept = D.decontaminated(d, b)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_overlapping_spans_are_rewritten_once(spark):
+    # a card that a phone number begins with, and two kinds that share their end
+    text = "+4111 1111 1111 1111 and +1.2.3.4567 10.2.3.4"
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    got = P.sanitised(df).collect()
+    assert len(got) == 2 and got[0] == got[1]
+    spans = [(s.kind, s.start, s.stop) for s in got[0].spans if s.kind != "term"]
+    assert ",".join(f"{k}:{a}:{b}" for k, a, b in spans) == plain_spans(text)
+    covered = {i for _, a, b in spans for i in range(a, b)}
+    assert not any(text[a:b] in got[0].text for _, a, b in spans) and covered
+
+
+def test_short_texts_have_many_different_pairs():
+    rng = random.Random(1)
+    n = []
+    for _ in range(40):
+        f = order_minhash(" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(20)))
+        n.append(len({f[i : i + 4] for i in range(0, 256, 4)}))
+    assert sum(n) / len(n) > 40  # of 64; starting points in one order give 16

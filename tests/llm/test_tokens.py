@@ -113,3 +113,28 @@ def test_section_counts(spark, docs, rule):
         assert sum(r.n_tokens for r in rows) == len(enc.encode_ordinary(t))
         if t.isascii():
             assert [r.n_tokens for r in rows] == want
+
+
+def test_edges_of_section_counts(spark, docs):
+    path = P.path("byte_bpe_50k.tiktoken")
+    twice = spark.createDataFrame([(1, "a\n\nb c"), (1, "a\n\nb c"), (None, "x"), (2, None)], "doc_id long, text string").withColumn("section", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
+    got = sorted(map(str, token_counts.section_tokens(twice, path, P.PATTERN, "start").select("doc_id", "section", "n_tokens").collect()))
+    once = sorted(map(str, token_counts.section_tokens(twice.limit(1), path, P.PATTERN, "start").select("doc_id", "section", "n_tokens").collect()))
+    assert all(got.count(r) == 2 for r in once) and len(got) == 2 * len(once) + 2
+    assert token_counts.section_tokens(twice.limit(0), path, P.PATTERN, "start").count() == 0
+
+
+def test_pieces_of_nothing(docs):
+    assert piece_codec.encode_decode(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_parts_after_a_line_end_are_checked():
+    c = piece_codec.PieceCodec(P.path("piece_bpe_32k.model"))
+    c.encode("hello\nzebrafish question\n  two  spaces \n\n")
+    assert "zebrafish" in c.new
+    c.check()
+    assert c.new == []
+    c["zebrafish"] = c["question"]
+    c.new.append("zebrafish")
+    with pytest.raises(AssertionError):
+        c.check()
