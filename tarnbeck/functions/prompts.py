@@ -29,6 +29,12 @@ def hint_source(rung: Column, hint: Column, program: Column) -> Column:
     return F.when(rung == "L1", "none").when(rung == "L4", "fixed").when(F.trim(text(hint)) != "", "llm").when(F.trim(text(program)) != "", "ast").otherwise("none")
 
 
+def hint_text(l2: Column, l3: Column) -> Column:
+    """A hint's fields as one text: the places in order of their names, then the method."""
+    places = F.transform(F.array_sort(F.map_entries(l2)), lambda e: F.concat(e["key"], F.lit(": "), text(e["value"])))
+    return F.concat_ws("\n", F.array_join(F.coalesce(places, F.array().cast("array<string>")), "\n"), F.nullif(text(l3), F.lit("")))
+
+
 def files_line(files: Column, limit: int = 6) -> Column:
     """The first names, and how many there are in all if some are left out."""
     shown = F.array_join(F.slice(files, 1, limit), ", ")

@@ -44,6 +44,8 @@ CACHE_PATH = r"(?:\./)?(?:input/)?kaggle/datasets/[^\s\"':,)\]]+"
 MACHINE_PATH = r"(?i)/(?:home|Users)/(?!user\b)[^\s\"':,)\]]+|/var/tmp/[^\s\"':,)\]]*|/mnt/[^\s\"':,)\]]+|/data/[^\s\"':,)\]]+"
 SECRET = r"(?i)\b(?:sk-or-v1-|sk-|hf_|ghp_|gho_|xoxb-|AKIA)[A-Za-z0-9_\-]{8,}|\b[A-Za-z0-9_\-]*(?:api[_-]?key|token|secret)[A-Za-z0-9_\-]*\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{12,}|\bBearer\s+[A-Za-z0-9._\-]{12,}"
 HOME_PATH = r"(?i)/(?:home|Users)/(?!user\b)"
+INPUT_PATH = r"(?<![\w/.\-])(?:\./)?input(?=/|['\"])"
+SQL_KEYWORDS = ("select", "from", "where", "and", "or", "not", "in", "is", "null", "as", "on", "join", "left", "right", "inner", "outer", "group", "by", "order", "having", "limit", "distinct", "case", "when", "then", "else", "end", "like", "between", "asc", "desc")
 TABLE_SUFFIX = r"(?i)\.(csv|tsv|parquet|json|jsonl|xlsx|xls|sqlite|db|txt|tif|png|jpg|jpeg|avro|feather|pickle|pkl|h5|parq)$"
 
 # --------------------------------------------------------------------------------------------------------------------
@@ -258,6 +260,45 @@ def sql_predicates(statement: Column) -> Column:
     return F.filter(F.transform(F.split(where, r"(?i)\b(?:and|or|not)\b"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def sql_columns(statement: Column) -> Column:
+    """Sorted names in the select list, the tables and the conditions of a statement, without keywords, numbers and quoted texts."""
+    bare = F.regexp_replace(text(statement), r"'[^']*'", " ")
+    clause = F.regexp_replace(bare, r"(?is)\b(?:group\s+by|order\s+by|limit|having)\b.*$", " ")
+    words = F.array_distinct(F.regexp_extract_all(clause, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    return F.array_sort(F.filter(words, lambda w: ~F.lower(w).isin(*SQL_KEYWORDS)))
+
+
+def sql_operator(predicate: Column) -> Column:
+    """!= for a condition that excludes, else ==."""
+    return F.when(text(predicate).rlike(r"(?i)\bnot\s+in\b|<>|!="), "!=").otherwise("==")
+
+
+def sandbox_paths(c: Column, folder: str = "/home/user/input") -> Column:
+    """./input and input/ as the sandbox names the folder."""
+    return F.regexp_replace(text(c), INPUT_PATH, folder)
+
+
+def one_line(c: Column) -> Column:
+    """White space runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text(c), r"\s+", " "))
+
+
+def hint_fields(reply: Column, where: tuple[str, ...] = ("l2", "L2", "where", "where_to_look"), how: tuple[str, ...] = ("l3", "L3", "how", "method")) -> Column:
+    """struct<l2 map<string,string>, l3> of a JSON reply: the fields under any of their names, at the top or one level down.
+
+    A reply that is itself files, columns and filters is the first field. What is not there is empty.
+    """
+    top = F.from_json(text(reply), "map<string,string>")
+    inner = F.filter(F.transform(F.map_values(top), lambda v: F.from_json(v, "map<string,string>")), lambda m: F.size(F.coalesce(m, F.create_map().cast("map<string,string>"))) > 0)
+    levels = F.concat(F.array(top), F.coalesce(inner, F.array().cast("array<map<string,string>>")))
+    first = lambda names, use: F.get(F.filter(F.flatten(F.transform(levels, lambda m: F.array(*(use(F.try_element_at(m, F.lit(n))) for n in names)))), lambda x: x.isNotNull()), F.lit(0))
+    as_map = lambda v: F.when(v.startswith("{"), F.from_json(v, "map<string,string>"))
+    bare = lambda m: F.map_filter(m, lambda k, v: k.isin("files", "columns", "filters"))
+    itself = F.get(F.filter(F.transform(levels, bare), lambda m: F.size(m) > 0), F.lit(0))
+    empty = F.create_map().cast("map<string,string>")
+    return F.struct(F.coalesce(first(where, as_map), itself, empty).alias("l2"), F.coalesce(first(how, lambda v: F.when(~v.startswith("{"), v)), F.lit("")).alias("l3"))
+
+
 def phrase(n: Column, steps: tuple[tuple[float, str], ...]) -> Column:
     """The phrase of the first bound above n, else the last."""
     out = F.lit(steps[-1][1])

@@ -42,17 +42,30 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> Da
 def split_by_hash(rows: DataFrame, position: Column, fraction: float, seed: int) -> DataFrame:
     """rows with part: val for the half-even round(n * fraction) rows with the smallest sha256("seed:position"), else train.
 
-    The bound is the k-th smallest hash, found by a top-k of the hashes alone; the rows are then compared with it in place.
+    The bound is the k-th smallest hash. Counts by the first 16 bits, one table of 65,536 rows, tell the part of the range
+    that holds it; only the hashes of that part are sorted, and the rows are then compared with the bound in place.
     """
-    n = rows.count()
-    k = int(round(n * fraction))
     marked = rows.withColumn("__h", draw_key(seed, position))
+    counts = sorted((r.p, r.n) for r in marked.groupBy(F.substring("__h", 1, 4).alias("p")).agg(F.count("*").alias("n")).collect())
+    k = int(round(sum(n for _, n in counts) * fraction))
     if not k:
         return marked.withColumn("part", F.lit("train")).drop("__h")
-    bound = marked.select("__h").orderBy("__h").limit(k).agg(F.max("__h").alias("__b"))
+    for prefix, n in counts:
+        if k <= n:
+            break
+        k -= n
+    bound = marked.select("__h").where(F.substring("__h", 1, 4) == prefix).orderBy("__h").limit(k).agg(F.max("__h").alias("__b"))
     return marked.crossJoin(F.broadcast(bound)).withColumn("part", F.when(F.col("__h") <= F.col("__b"), "val").otherwise("train")).drop("__h", "__b")
 
 
+def bench_rows(tables: list[DataFrame], key: Column, n: int, seed: int = 0) -> DataFrame:
+    """The n rows of all tables together with the smallest hashes of their key, in that order."""
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.withColumn("__h", draw_key(seed, key)).orderBy("__h").limit(n).drop("__h")
+
+
 def split_stable(rows: DataFrame, key: Column, fraction: float, seed: int) -> DataFrame:
     """rows with part, by the first 32 bits of the key's hash: a row keeps its part whatever else is there."""
     u = F.conv(F.substring(draw_key(seed, key), 1, 8), 16, 10).cast("double") / float(2**32)

@@ -25,6 +25,20 @@ def export_split(df: DataFrame, path: str, part: str = "part", index: tuple[str,
     return {"rows": seen.get["rows"], "val": seen.get["val"], "train": seen.get["rows"] - seen.get["val"]}
 
 
+def write_report(df: DataFrame, dropped: DataFrame, path: str, part: str = "part", index: tuple[str, ...] = ()) -> dict[str, int]:
+    """export_split, with the counts of what was dropped (reason, n) beside them in a manifest."""
+    counts = export_split(df, path, part, index)
+    spark = df.sparkSession
+    kept = spark.createDataFrame([(k, v) for k, v in counts.items()], "name string, value long")
+    write_manifest(kept.unionByName(dropped.select(F.concat(F.lit("dropped: "), "reason").alias("name"), F.col("n").cast("long").alias("value"))), f"{path}/manifest")
+    return counts
+
+
+def write_heartbeat(row: DataFrame, path: str, key: str) -> None:
+    """Replaces the one row of each key in row; the file of another key stays as it is."""
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
+
+
 def write_manifest(counts: DataFrame, path: str) -> None:
     """A small table of (name, value) as one JSON file."""
     counts.coalesce(1).write.mode("overwrite").json(path)

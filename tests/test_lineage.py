@@ -99,3 +99,67 @@ def test_made_tasks_equal_pandas(spark, sf):
     cells = spark.createDataFrame([(1, "b"), (2, " a "), (3, "a")], "i int, c string")
     assert synthetic.first_matching(cells, "c", "a", "i").first().value == " a " and synthetic.first_matching(cells, "c", "z", "i").first().value is None
     assert synthetic.column_names({"x": cells, "y": cells.drop("c")}) == ["c", "i"]
+
+
+def test_sql_and_hint_texts(spark):
+    from tarnbeck.functions import prompts
+    from tarnbeck.functions import text as T
+
+    one = spark.range(1)
+    sql = "SELECT a.x, sum(y) FROM t JOIN u ON t.k = u.k WHERE name = 'in it' AND z NOT IN (1, 2) GROUP BY w"
+    assert one.select(T.sql_columns(F.lit(sql))).first()[0] == ["a", "k", "name", "sum", "t", "u", "x", "y", "z"]
+    assert one.select(T.sql_operator(F.lit("z NOT IN (1)")), T.sql_operator(F.lit("z = 1")), T.sandbox_paths(F.lit("read('./input/a') input/b my_input/c")), T.one_line(F.lit(" a \n b "))).first()[:] == ("!=", "==", "read('/home/user/input/a') /home/user/input/b my_input/c", "a b")
+    replies = ['{"l2": {"files": "a.csv"}, "l3": "sum it"}', '{"hint": {"L2": {"columns": "x"}, "method": "count"}}', '{"files": "b.csv", "columns": "y"}', "no json", None]
+    got = [r.h for r in spark.createDataFrame([(x,) for x in replies], "t string").select(T.hint_fields(F.col("t")).alias("h")).collect()]
+    assert [(g.l2, g.l3) for g in got] == [({"files": "a.csv"}, "sum it"), ({"columns": "x"}, "count"), ({"files": "b.csv", "columns": "y"}, ""), ({}, ""), ({}, "")]
+    assert one.select(prompts.hint_text(F.create_map(F.lit("files"), F.lit("a"), F.lit("columns"), F.lit("x")), F.lit("sum"))).first()[0] == "columns: x\nfiles: a\nsum"
+
+
+def test_expressions_and_rewards(spark):
+    from tarnbeck.operators import grading
+
+    cases = [("1/2", "0.5", True), ("2^3 + 1", "9", True), ("50%", "1/2", True), ("28*28", "784", True), ("x + 1", "x + 1", False), ("1/0", "1/0", False), (None, "1", False), ("9" * 300, "9" * 300, False), ("2^999", "2^999", False), ("0.1 + 0.2", "0.3", True), ("1,000", "1000", True), ("1 + 1", "3", False)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
+    assert [r[0] for r in df.select(grading.same_expression("a", "b")).collect()] == [c for _, _, c in cases]
+    r = spark.createDataFrame([("5", "5.0"), ("5", "no"), ("5", None)], "a string, p string").select(grading.rewards(F.col("a"), F.col("p"), F.lit("numeric"), F.lit(0.1), F.lit(0.0)).alias("r")).collect()
+    assert [tuple(x.r) for x in r] == [(1.0, 1.0, 1.1), (0.0, 1.0, 0.1), (0.0, 0.0, 0.0)]
+
+
+def test_split_bound_and_bench_rows(spark):
+    import hashlib
+
+    from tarnbeck.operators import sampling
+
+    n = 3000
+    df = spark.range(n).withColumnRenamed("id", "k")
+    val = {r.k for r in sampling.split_by_hash(df, F.col("k"), 0.05, 3).where("part = 'val'").collect()}
+    assert val == set(sorted(range(n), key=lambda k: hashlib.sha256(f"3:{k}".encode()).hexdigest())[:150])
+    assert sampling.split_by_hash(df.limit(0), F.col("k"), 0.5, 3).count() == 0
+    rows = [r.k for r in sampling.bench_rows([df.where("k < 10"), df.where("k >= 10 and k < 20").withColumn("x", F.lit(1))], F.col("k"), 4).collect()]
+    assert rows == sorted(range(20), key=lambda k: hashlib.sha256(f"0:{k}".encode()).hexdigest())[:4]
+
+
+def test_report_and_heartbeat(spark, tmp_path):
+    from tarnbeck.sources import sinks
+
+    df = spark.createDataFrame([("a", "val"), ("b", "train"), ("c", "train")], "k string, part string")
+    assert sinks.write_report(df, spark.createDataFrame([("held out", 4)], "reason string, n int"), str(tmp_path / "r")) == {"rows": 3, "val": 1, "train": 2}
+    got = {r.name: r.value for r in spark.read.json(str(tmp_path / "r" / "manifest")).collect()}
+    assert got == {"rows": 3, "val": 1, "train": 2, "dropped: held out": 4}
+    beat = lambda tag, t: sinks.write_heartbeat(spark.createDataFrame([(tag, t)], "tag string, at double"), str(tmp_path / "h"), "tag")
+    beat("a", 1.0), beat("b", 2.0), beat("a", 3.0)
+    assert {(r.tag, r.at) for r in spark.read.json(str(tmp_path / "h")).collect()} == {("a", 3.0), ("b", 2.0)}
+
+
+def test_quoted_separators(spark, tmp_path):
+    from tarnbeck.sources import readers
+
+    (tmp_path / "a.csv").write_text('"x, y";z\n1;2\n')
+    assert readers.sniff(spark, str(tmp_path / "a.csv")) == ";" and readers.read_delimited(spark, str(tmp_path / "a.csv")).columns == ["x, y", "z"]
+
+
+def test_one_value_is_constant_text(spark):
+    from tarnbeck.operators import profile
+
+    got = {r.column: r.profile for r in profile.describe_table(spark.createDataFrame([("a", None), ("a", None)], "c string, e string")).collect()}
+    assert got == {"c": "constant text, all values present", "e": "text, no values present"}
