@@ -5,6 +5,8 @@ None of them shuffles or leaves the JVM. Nulls are treated as empty texts unless
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,21 +138,34 @@ def tolerance(mode: Column, value: Column) -> Column:
     return F.when(mode == "numeric", F.least(F.greatest(F.pow(F.lit(10.0), -(decimals + 1)), F.lit(1e-4)), F.lit(0.05))).otherwise(0.0)
 
 
+def lowered(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c in lower case), made lower once: the patterns then need not look at both cases."""
+    return F.get(F.transform(F.array(F.lower(text(c))), use), F.lit(0))
+
+
+def matching(q: Column, patterns: tuple[tuple[str, str], ...]) -> list[Column]:
+    """For each pattern its name where the lower-case text matches it, else null."""
+    return [F.when(q.rlike(p.removeprefix("(?i)")), F.lit(name)) for name, p in patterns]
+
+
 def op_family(c: Column) -> Column:
     """The first family that matches, in order."""
-    q = text(c)
-    return F.coalesce(*(F.when(q.rlike(p), F.lit(name)) for name, p in FAMILIES), F.lit("other"))
+    return lowered(c, lambda q: F.coalesce(*matching(q, FAMILIES), F.lit("other")))
 
 
 def nondeterminism_reasons(c: Column) -> Column:
-    return compact(*(F.when(text(c).rlike(p), F.lit(name)) for name, p in NONDETERMINISM))
+    return lowered(c, lambda q: compact(*matching(q, NONDETERMINISM)))
+
+
+def ambiguous_words(c: Column) -> Column:
+    return lowered(c, lambda q: compact(*matching(q, AMBIGUOUS)))
 
 
 def ambiguity_reasons(question: Column, answer: Column, mode: Column) -> Column:
     words = F.filter(F.split(text(answer), r"[^A-Za-z0-9]+"), lambda w: F.length(w) > 3)
     q = F.lower(text(question))
     missing = F.when((mode == "exact_short") & F.exists(words, lambda w: ~F.contains(q, F.lower(w))), F.lit("label vocabulary not in question"))
-    return compact(*(F.when(text(question).rlike(p), F.lit(name)) for name, p in AMBIGUOUS), missing)
+    return F.array_compact(F.concat(ambiguous_words(question), F.array(missing)))
 
 
 def answer_type(mode: Column) -> Column:

@@ -111,7 +111,7 @@ def regex_tags(spark, d):
     # patterns without look-around mean the same to all engines on ASCII text
     docs = frames.spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", r"[^\x20-\x7E]", " ").alias("t"))
     t = F.col("t")
-    return docs.select("doc_id", T.op_family(t).alias("family"), F.array_join(T.nondeterminism_reasons(t), ",").alias("nondeterminism"), F.array_join(T.compact(*(F.when(t.rlike(p), F.lit(n)) for n, p in T.AMBIGUOUS)), ",").alias("ambiguity"))
+    return docs.select("doc_id", T.op_family(t).alias("family"), F.array_join(T.nondeterminism_reasons(t), ",").alias("nondeterminism"), F.array_join(T.ambiguous_words(t), ",").alias("ambiguity"))
 
 
 def leak_check(spark, d):
