@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions.stats import nearest_ranks, percentile_bootstrap
 from tarnbeck.operators import conversations, frames, ledger, records, trials
+from tarnbeck.streaming import events as streams
 
 NOW = 1_707_000_000.0
 
@@ -208,13 +209,36 @@ s AS (SELECT user_id, t AS start, coalesce(nxt, {NOW}) AS stop, nxt IS NULL AS o
 STATS = """c AS (SELECT {by}, task, count(*) AS n, count(*) FILTER (finished) AS done, avg(passed::INT::DOUBLE) FILTER (finished) AS fraction FROM {src} GROUP BY ALL)
 SELECT {by}, count(*) AS attempted, count(fraction) AS scored, sum(n)::BIGINT AS trials, sum(n - done)::BIGINT AS failures, round(avg(fraction), 6) AS pass_rate FROM c GROUP BY {by}"""
 
+def _stamped(spark, d):
+    return events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def error_windows(spark, d):
+    out = streams.windowed_errors(_stamped(spark, d), "ts", F.col("event_type") == "error", "user_id")
+    return out.select(F.unix_seconds("window.start").alias("start"), "user_id", "n", "errors")
+
+
+def sliding_windows(spark, d):
+    out = streams.sliding_rates(_stamped(spark, d), "ts", F.col("event_type") == "purchase")
+    return r6(out.select(F.unix_seconds("window.start").alias("start"), "n", "rate"), "rate")
+
+
+def session_windows(spark, d):
+    out = streams.sessions(_stamped(spark, d), "ts", "user_id", "6 hours")
+    return out.select("user_id", F.unix_micros("session_window.start").alias("start"), F.unix_micros("session_window.end").alias("stop"), "n")
+
+
 QUERIES = {f.__name__: f for f in (
+    error_windows, sliding_windows, session_windows,
     two_level_pass_rate, first_passing_rung_hist, monotonicity_sign_test, control_effect_paired, consistency_by_cell, ceiling, headroom_curve, control_grouping_sets, common_set_report,
     bootstrap_ci, retry_agreement, climb_gaps, climb_replay, marginality, distribution, describe_nearest_rank, ledger_intervals, ledger_spend, monitor_stall, monitor_error_share,
     rung_scheduler, measured_fold, steps_per_second, repeat_guard, asof_last_view, running_columns, forward_fill, interpolation, ewm, moments, crosstab, gold_regrade, launch_records, stop_shares,
 )}
 
 ORACLE = {
+    "error_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL",
+    "sliding_windows": "SELECT (floor(epoch_us(ts) / 900000000) - k)::BIGINT * 900 AS start, count(*) AS n, round(avg((event_type = 'purchase')::INT), 6) AS rate FROM events, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1",
+    "session_windows": "WITH a AS (SELECT user_id, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS i FROM a) SELECT user_id, min(t) AS start, max(t) + 21600000000 AS stop, count(*) AS n FROM b GROUP BY user_id, i",
     "ewm": "WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT a.user_id, a.event_id, round(sum(b.value * pow(0.7, a.i - b.i)) / sum(CASE WHEN b.value IS NOT NULL THEN pow(0.7, a.i - b.i) END), 6) AS ewm FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY ALL",
     "two_level_pass_rate": f"WITH {TRIALS}, " + STATS.format(by="rung", src="t"),
     "first_passing_rung_hist": f"""WITH {TRIALS}, {WIDE}, x AS (SELECT DISTINCT task FROM t), b AS (SELECT CASE WHEN l1 > 0.5 THEN 'L1' WHEN l2 > 0.5 THEN 'L2' WHEN l3 > 0.5 THEN 'L3' WHEN l4 > 0.5 THEN 'L4'
