@@ -29,6 +29,9 @@ called spans are replaced.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +49,21 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 DISCLOSURE = 0.95
 #: Terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Code points of the blocks that a text's pieces are cut from.
+BLOCK = 4096
 SPAN = "array<struct<kind:string,start:long,stop:long,value:string>>"
 
 
-def running(lengths: Column) -> Column:
-    """Sums of an array up to each element, in log2(size) passes."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(lengths: Column, join: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """Sums of an array up to each element (or what else joins two of them), in log2(size) passes."""
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int") - 1, F.lit(0)))
     back = lambda k: F.call_function("shiftleft", F.lit(1), k)
-    return F.aggregate(steps, lengths, lambda a, k: F.transform(a, lambda v, i: v + F.when(i >= back(k), F.get(a, i - back(k))).otherwise(F.lit(0).cast("long"))))
+    return F.aggregate(steps, lengths, lambda a, k: F.transform(a, lambda v, i: F.when(i >= back(k), join(v, F.get(a, i - back(k)))).otherwise(v)))
 
 
 def luhn(digits: Column) -> Column:
@@ -150,11 +160,22 @@ def with_spans(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSU
         return src
     mine = src.withColumn("__row", F.when(F.size("spans") > 0, row))
     out = mine.where("__row is null").withColumn("__terms", F.lit(None).cast("array<long>")).unionByName(mine.where("__row is not null").join(told, mine["__row"] == told["row"], "left").drop("row"))
-    outside = lambda s: ~F.exists("spans", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
-    extra = F.when(F.size("__terms") > 0, F.filter(term_spans(F.coalesce(F.col(text), F.lit("")), F.col("__terms")), outside)).otherwise(F.array().cast(SPAN))
+    extra = F.when(F.size("__terms") > 0, outside(F.col("spans"), term_spans(F.coalesce(F.col(text), F.lit("")), F.col("__terms")))).otherwise(F.array().cast(SPAN))
     return out.select(*rest, F.concat("spans", extra).alias("spans"))
 
 
+def outside(base: Column, terms_: Column) -> Column:
+    """Those term spans, by place, that lie in no base span: none that begins before or with them reaches their end."""
+    tagged = lambda spans, n: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("term"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
+
+    def kept(both: Column) -> Column:
+        reach = running(F.transform(both, lambda s: F.when(s["term"] == 0, s["stop"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+        span = lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "stop", "value")))
+        return bound(reach, lambda r: F.array_compact(F.transform(both, lambda s, i: F.when((s["term"] == 1) & (F.get(r, i) < s["stop"]), span(s)))))
+
+    return bound(F.array_sort(F.concat(tagged(base, 0), tagged(terms_, 1))), kept)
+
+
 def term_spans(text: Column, chosen: Column) -> Column:
     """Spans of the chosen terms' occurrences."""
     p = r"[\p{L}\p{N}]+"
@@ -175,21 +196,29 @@ def sanitised(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSUR
     Of overlapping spans the one that starts first, then the longer, is rewritten, and the later keep nothing of their own.
     """
     marked = with_spans(docs, text, disclosure)
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("last"), s["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    whole = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        stop = -s["last"]
-        before = F.substring(whole, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        fresh = F.struct(stop.alias("at"), F.concat(acc["parts"], F.array(before, mark)).alias("parts"))
-        # a span inside what is already rewritten adds nothing; one that reaches further takes the rest along
-        longer = F.struct(F.greatest(stop, acc["at"]).alias("at"), acc["parts"].alias("parts"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(longer)
-
-    done = F.aggregate(order, first, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(whole, (a["at"] + 1).cast("int"), F.length(whole))))
-    return marked.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(whole))
+    return marked.withColumn(text, F.when(F.size("spans") > 0, rewritten(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+
+
+def rewritten(text: Column, spans: Column) -> Column:
+    """A text with its spans, one at least, replaced; in time in proportion to text and spans, so pieces are cut from blocks."""
+    mark = lambda kind: F.when(kind == "term", "").otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("last"), s["kind"].alias("kind"))))
+
+    def cut(blocks: Column, o: Column, reach: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return F.when(b > a, F.substr(near, (a - first * BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+        # a span that begins inside what is already replaced adds nothing; one that reaches further takes the rest along
+        at = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0).cast("long"))
+        fresh = F.filter(F.transform(o, lambda s, i: F.struct(at(i).alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda p: p["start"] >= p["at"])
+        parts = F.transform(fresh, lambda p: F.concat(piece(p["at"], p["start"]), mark(p["kind"])))
+        return F.concat(F.array_join(parts, ""), piece(F.get(reach, F.size(reach) - 1), F.length(text).cast("long")))
+
+    reached = lambda o: running(F.transform(o, lambda s: -s["last"]), F.greatest)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return bound(blocks, lambda b: bound(order, lambda o: bound(reached(o), lambda r: cut(b, o, r))))
 
 
 def listed(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:

@@ -307,3 +307,33 @@ def test_short_texts_have_many_different_pairs():
         f = order_minhash(" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(20)))
         n.append(len({f[i : i + 4] for i in range(0, 256, 4)}))
     assert sum(n) / len(n) > 40  # of 64; starting points in one order give 16
+
+
+def test_rewriting_as_span_by_span(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in (1, 7, 40, 200):
+        text = "".join(rng.choice("ab \n🙂é") for _ in range(n * 60))
+        spans = []
+        for _ in range(n):
+            a = rng.randrange(len(text))
+            spans.append((rng.choice(["email", "ip", "term"]), a, min(len(text), a + rng.randint(1, 90)), ""))
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, f"text string, spans {P.SPAN}")
+    for r in df.select("text", "spans", P.rewritten(F.col("text"), F.col("spans")).alias("got"), P.outside(F.filter("spans", lambda s: s["kind"] != "term"), F.filter("spans", lambda s: s["kind"] == "term")).alias("rest")).collect():
+        out, at = "", 0
+        for s in sorted(r.spans, key=lambda s: (s.start, -s.stop, s.kind)):
+            if s.start >= at:
+                out += r.text[at : s.start] + ("" if s.kind == "term" else f"[{s.kind.upper()}]")
+            at = max(at, s.stop)
+        assert r.got == out + r.text[at:]
+        base = [s for s in r.spans if s.kind != "term"]
+        want = [(s.start, s.stop) for s in r.spans if s.kind == "term" and not any(b.start <= s.start and s.stop <= b.stop for b in base)]
+        assert [(s.start, s.stop) for s in r.rest] == sorted(want)
+
+
+def test_a_text_of_very_many_spans(spark):
+    n = 60_000
+    text = " ".join(f"a{i}@b.example and" for i in range(n))
+    r = P.sanitised(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert len(r.spans) == n and r.text == " ".join(["[EMAIL] and"] * n)
