@@ -14,11 +14,15 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.operators.frames import spread
 
+#: Bytes of text that an operator works on at a time, unless one text has more.
+SLICE_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; texts and pages that one row group or a few hold are dealt out over the cores, larger tables stay as they are."""
@@ -117,6 +121,18 @@ def lean(run):
     return ran
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int | str, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and, unless it is one row, so many bytes in the column `text`; nulls have none."""
+    for whole in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < whole.num_rows:
+            fit = int(np.searchsorted(ends, size + (ends[lo - 1] if lo else 0), side="right"))
+            hi = min(max(fit, lo + 1), lo + rows, whole.num_rows)
+            yield whole.slice(lo, hi - lo)
+            lo = hi
+
+
 def held_out() -> F.Column:
     """Rows whose labels are never learnt from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -182,8 +198,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if column.null_count:
-        import pyarrow.compute as pc
-
         column = pc.fill_null(column, "")
     column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lean, mix, shingle_sets, small, table, written
+from .common import components, lean, mix, shingle_sets, slices, small, table, written
 
 WORDS, SHARE = 5, 75
 #: Members up to which all pairs of a group are written down, and members of one chunk of a larger group.
@@ -120,16 +120,15 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["part", "s", "c"])
 
         sets, held, seen = [], 0, set()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                for s in shingle_sets(whole.column(0).slice(lo, 1000), WORDS):
-                    if len(s) and (i := set_id(s, 0)) not in seen:
-                        seen.add(i)
-                        sets.append(s)
-                        held += len(s)
-                if held >= BATCH_SHINGLES:
-                    yield packed(sets)
-                    sets, held, seen = [], 0, set()
+        for b in slices(batches, 0, 1000):
+            for s in shingle_sets(b.column(0), WORDS):
+                if len(s) and (i := set_id(s, 0)) not in seen:
+                    seen.add(i)
+                    sets.append(s)
+                    held += len(s)
+            if held >= BATCH_SHINGLES:
+                yield packed(sets)
+                sets, held, seen = [], 0, set()
         if sets:
             yield packed(sets)
 
@@ -159,14 +158,12 @@ def shingle_table(docs: DataFrame, seed: int) -> DataFrame:
     """(doc_id, version, n_shingles, node, check) of each document; version is a hash of its text, node is null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                n, ids, checks = [], [], []
-                for s in shingle_sets(b.column(1), WORDS):
-                    i, c = set_id(s, seed) if len(s) else (None, None)
-                    n.append(len(s)), ids.append(i), checks.append(c)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.int64()) for x in (n, ids, checks))], names=["doc_id", "version", "n_shingles", "node", "check"])
+        for b in slices(batches, 1, 1000):
+            n, ids, checks = [], [], []
+            for s in shingle_sets(b.column(1), WORDS):
+                i, c = set_id(s, seed) if len(s) else (None, None)
+                n.append(len(s)), ids.append(i), checks.append(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.int64()) for x in (n, ids, checks))], names=["doc_id", "version", "n_shingles", "node", "check"])
 
     version = F.xxhash64(F.coalesce("text", F.lit(""))).alias("version")
     return docs.select("doc_id", "text", version).mapInArrow(lean(run), "doc_id long, version long, n_shingles long, node long, check long")
@@ -201,24 +198,23 @@ def meetings(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, np.ndarray]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "nodes", "counts", "keys"])
 
         nodes, counts, keys, held, seen = [], [], [], 0, set()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                for s in shingle_sets(whole.column(0).slice(lo, 1000), WORDS):
-                    if not len(s):
-                        continue
-                    i = set_id(s, seed)[0]
-                    if i in seen:
-                        continue
-                    seen.add(i)
-                    band = int(np.searchsorted(first, len(s), side="right")) - 1
-                    k = block_keys(s, band, known)
-                    if band:
-                        k = np.r_[k, block_keys(s, band - 1, known)]
-                    nodes.append(i), counts.append(len(k)), keys.append(k)
-                    held += len(k)
-                    if held >= 1_000_000:
-                        yield packed(nodes, counts, keys)
-                        nodes, counts, keys, held, seen = [], [], [], 0, set()
+        for b in slices(batches, 0, 1000):
+            for s in shingle_sets(b.column(0), WORDS):
+                if not len(s):
+                    continue
+                i = set_id(s, seed)[0]
+                if i in seen:
+                    continue
+                seen.add(i)
+                band = int(np.searchsorted(first, len(s), side="right")) - 1
+                k = block_keys(s, band, known)
+                if band:
+                    k = np.r_[k, block_keys(s, band - 1, known)]
+                nodes.append(i), counts.append(len(k)), keys.append(k)
+                held += len(k)
+                if held >= 1_000_000:
+                    yield packed(nodes, counts, keys)
+                    nodes, counts, keys, held, seen = [], [], [], 0, set()
         if nodes:
             yield packed(nodes, counts, keys)
 
@@ -301,11 +297,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     src = keyed.join(asked, ["nul", "id", "version"]).select("asked", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                rows = [(i, len(s), sketch(s).tobytes(), s.tobytes()) for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), WORDS), strict=True) if len(s) and set_id(s, seed)[0] == i]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "sketch", "elements"])
+        for b in slices(batches, 1, 500):
+            rows = [(i, len(s), sketch(s).tobytes(), s.tobytes()) for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), WORDS), strict=True) if len(s) and set_id(s, seed)[0] == i]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "sketch", "elements"])
 
     return written(src.mapInArrow(lean(run), "node long, n long, sketch binary, elements binary"), "sets")
 

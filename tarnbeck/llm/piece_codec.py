@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, table
+from .common import lean, slices, table
 
 #: Segments that the table of one Python worker holds before it starts anew.
 TABLE_SIZE = 800_000
@@ -139,15 +139,13 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                ids = [np.frombuffer(c.encode(t or ""), np.int32) for t in b.column("decoded").to_pylist()]
-                c.check()
-                ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                decoded = [c.library.decode(x.tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in rest), lists, pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
+        for b in slices(batches, "decoded", 500):
+            ids = [np.frombuffer(c.encode(t or ""), np.int32) for t in b.column("decoded").to_pylist()]
+            c.check()
+            ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            decoded = [c.library.decode(x.tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in rest), lists, pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
 
     return src.mapInArrow(lean(run), schema)
 

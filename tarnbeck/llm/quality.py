@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, lean, small, table, texts_of, written
+from .common import held_out, lean, slices, small, table, texts_of, written
 from .toxicity import BITS, Ftrl, features, sampled
 
 #: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key), pseudo-labels that a view gives in
@@ -80,12 +80,6 @@ def view_margins(b: pa.RecordBatch, text: np.ndarray, meta: np.ndarray) -> tuple
     return s, meta[meta_features(b)].sum(axis=1) + meta[1 << META_BITS]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for lo in range(0, whole.num_rows, SLICE):
-            yield whole.slice(lo, SLICE)
-
-
 def dense(model: dict) -> tuple[np.ndarray, np.ndarray]:
     """The weights of both views."""
     out = np.zeros((1 << BITS) + 1), np.zeros((1 << META_BITS) + 1)
@@ -174,7 +168,7 @@ def version() -> F.Column:
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, text features, metadata features, view that learns from it or null) of viewed() rows with label and view."""
-    for b in slices(batches):
+    for b in slices(batches, 3, SLICE):
         own, f = text_features(b)
         cuts, f, meta = np.searchsorted(own, np.arange(b.num_rows + 1)), f.astype("<i4"), meta_features(b).astype("<i4")
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array([f[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), b.column(5)], names=["doc_id", "label", "f", "g", "view"])
@@ -202,7 +196,7 @@ def margins(docs: DataFrame, sent: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = dense(sent.value)
-        for b in slices(batches):
+        for b in slices(batches, 3, SLICE):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), *map(pa.array, view_margins(b, *w))], names=["doc_id", "version", "s_text", "s_meta"])
 
     return viewed(docs, version().alias("version")).mapInArrow(lean(run), "doc_id long, version long, s_text double, s_meta double")
@@ -289,7 +283,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         w = dense(sent.value)
         a1, b1, a2, b2, prior = sent.value["cal"]
         prob = lambda s: 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-        for b in slices(batches):
+        for b in slices(batches, 3, SLICE):
             s, t = view_margins(b, *w)
             s, t = a1 * _margin(s) + b1, a2 * _margin(t) + b2
             p = prob(s + t - prior)

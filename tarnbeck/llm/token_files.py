@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_file, shared_path, table, written
+from .common import new_file, shared_path, slices, table, written
 
 #: Words that the table of one Python worker holds before it starts anew.
 TABLE_SIZE = 800_000
@@ -115,17 +115,15 @@ def write_tokens(docs: DataFrame, path: str, to: str, key: str = "doc_id", text:
                 at += int(ends[-1])
                 keys, ids, lens, held = [], [], [], 0
 
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 256):
-                    b = whole.slice(lo, 256)
-                    for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-                        x = c.encode(t) + b"\1\0\0\0"
-                        keys.append(k), ids.append(x), lens.append(len(x) // 4)
-                        held += len(x) // 4
-                        if held >= GROUP_IDS or len(keys) >= GROUP_ROWS:
-                            n_docs += len(keys)
-                            flush()
-                    c.trim()
+            for b in slices(batches, 1, 256):
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                    x = c.encode(t) + b"\1\0\0\0"
+                    keys.append(k), ids.append(x), lens.append(len(x) // 4)
+                    held += len(x) // 4
+                    if held >= GROUP_IDS or len(keys) >= GROUP_ROWS:
+                        n_docs += len(keys)
+                        flush()
+                c.trim()
             if keys:
                 n_docs += len(keys)
                 flush()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIGNS, held_out, lean, mix, small, table, texts_of, word_hashes, written
+from .common import SIGNS, held_out, lean, mix, slices, small, table, texts_of, word_hashes, written
 
 BITS = 20
 #: Labelled rows that learning sees at most (in expectation; chosen by a hash of the key).
@@ -78,14 +78,12 @@ def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passe
     rows = sampled(rows, 1.25, sample_rows, F.lit(seed + 1), "doc_id", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                b = whole.slice(lo, 200)
-                f, own = features(b.column(1), bits)
-                code = np.unique(own << (bits + 1) | f)
-                cuts = np.searchsorted(code >> (bits + 1), np.arange(b.num_rows + 1))
-                f = (code & ((1 << (bits + 1)) - 1)).astype("<i4")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([f[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "label", "f"])
+        for b in slices(batches, 1, 200):
+            f, own = features(b.column(1), bits)
+            code = np.unique(own << (bits + 1) | f)
+            cuts = np.searchsorted(code >> (bits + 1), np.arange(b.num_rows + 1))
+            f = (code & ((1 << (bits + 1)) - 1)).astype("<i4")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([f[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "label", "f"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(k or 0, np.frombuffer(f, "<i4"), y) for b in batches for k, y, f in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
@@ -110,15 +108,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
         at, w = sent.value
         dense = np.zeros((1 << bits) + 1)
         dense[at] = w
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                b = whole.slice(lo, 200)
-                f, own = features(b.column(b.num_columns - 1), bits)
-                hit = np.flatnonzero(dense[f])
-                code = np.unique(own[hit] << (bits + 1) | f[hit])
-                s = np.bincount(code >> (bits + 1), weights=dense[code & ((1 << (bits + 1)) - 1)], minlength=b.num_rows) + dense[1 << bits]
-                p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
+        for b in slices(batches, len(rest), 200):
+            f, own = features(b.column(b.num_columns - 1), bits)
+            hit = np.flatnonzero(dense[f])
+            code = np.unique(own[hit] << (bits + 1) | f[hit])
+            s = np.bincount(code >> (bits + 1), weights=dense[code & ((1 << (bits + 1)) - 1)], minlength=b.num_rows) + dense[1 << bits]
+            p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
 
     src = docs.select(*rest, F.col(text).alias("__text"))
     schema = T.StructType([*docs.select(*rest).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
