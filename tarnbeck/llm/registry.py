@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .clusters import OP11_SQL, op11_centroid_clusters
 from .decontamination import op9_decontamination
 from .fingerprints import op1_fingerprints
 from .near_duplicates import op2_near_duplicates
@@ -11,6 +12,7 @@ from .quality import op6_quality
 from .token_counts import op3_token_counts
 from .token_files import op5_token_files
 from .toxicity import op8_toxicity
+from .url_filters import OP12_SQL, op12_url_filters
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_url_filters": op12_url_filters,
 }
-ORACLE: dict[str, str] = {"op4_warc": OP4_SQL}
+ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op11_centroid_clusters": OP11_SQL, "op12_url_filters": OP12_SQL}
