@@ -8,6 +8,7 @@ from .fingerprints import op1_fingerprints
 from .near_duplicates import op2_near_duplicates
 from .personal_data import op7_personal_data
 from .piece_codec import op10_sentencepiece
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op6_quality
 from .token_counts import op3_token_counts
 from .token_files import op5_token_files
@@ -28,5 +29,11 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_url_filters": op12_url_filters,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+ORACLE: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+    "op11_centroid_clusters": OP11_SQL,
+    "op12_url_filters": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
-ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op11_centroid_clusters": OP11_SQL, "op12_url_filters": OP12_SQL}
