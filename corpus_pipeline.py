@@ -15,9 +15,13 @@ from tarnbeck.llm.common import table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that score 0.5 or more go."""
+    """Operator 8: documents that score above 0.5 go; all stay without labels of both classes, and those without words do."""
     model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic"))
-    return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
+    if not len(model[0]):
+        return docs
+    scored = toxicity.score(docs, model, keep_text=True, names=("__score", "__predicted"))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[A-Za-z0-9]|[^\x00-\x7F]")
+    return scored.where((F.col("__score") <= 0.5) | wordless).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +36,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def rewrite_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: personal data becomes its kind, terms that disclose it go; n_chars follows the text."""
-    out = personal_data.sanitised(docs)
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    mine = docs.withColumnRenamed("spans", "__spans")
+    out = personal_data.sanitised(mine)
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*mine.columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
