@@ -34,7 +34,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
     Where it is unset, one of our own: in local mode a temporary folder that goes when the driver ends, on a cluster one
-    below the warehouse, which all executors see.
+    below the warehouse, which all executors see unless it is a local folder: that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -45,6 +45,8 @@ def shared_root(spark: SparkSession) -> str:
             root = "file://" + own
         else:
             root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+            if local_name(root) is not None:
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all executors see; the warehouse {root} is a local one")
         spark.conf.set("spark.checkpoint.dir", root)
         sc.setCheckpointDir(root)
     return root.rstrip("/")

@@ -10,8 +10,8 @@ Items of fewer than 13 words must agree in all but 3 of 13 of their words, round
 The benchmark's seeds are broadcast while there are at most `broadcast_rows` of them, and joined by a shuffle beyond that;
 so are the documents to verify. Everything runs in DataFrame functions.
 
-Nulls and texts without words match nothing; a null key is kept; rows with equal key and text give one result; empty tables
-give none.
+Nulls and texts without words match nothing; a null key is kept; rows with equal key and text give one result, and go or stay
+together; rows that share a key and differ in text are judged each; empty tables give none.
 """
 
 from __future__ import annotations
@@ -53,10 +53,24 @@ def seeds(hashes: Column, masks: tuple[str, ...]) -> Column:
     return bound(hashes, lambda w: F.concat(*(of(w, len(m) * 1000 + int(m, 2), m) for m in masks)))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def version(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def overlaps(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    broadcast_rows: int = BROADCAST_ROWS,
+    with_version: bool = False,
+) -> DataFrame:
     """(key, item, doc_start, doc_stop, item_start, n_equal, n_words): the aligned stretch of words in document and item.
 
-    One row for each document, item and shift; n_words is the length of the stretch, n_equal its equal words.
+    One row for each document, item and shift; n_words is the length of the stretch, n_equal its equal words. With
+    with_version the row also has `version`, which tells texts of one key apart.
     """
     items = written(benchmark.select(F.col(item).alias("item"), words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0), "items")
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
@@ -69,31 +83,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     for extra in known[1:]:
         known[0] = known[0].unionByName(extra)
     known = written(known[0].select("item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")), "seeds")
-    src = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"), text)
-    mine = src.select("key", "version", F.explode(seeds(hashed(words(F.col(text))), masks)).alias("s")).select("key", "version", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
+    src = docs.select(F.col(key).alias("key"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
+    mine = src.select("key", "version", F.explode(seeds(hashed(words(F.col("text"))), masks)).alias("s")).select("key", "version", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
     hits = written(mine.join(small(known, broadcast_rows), "seed").select("key", "version", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
     wanted = small(written(hits.select("key", "version").distinct(), "wanted"), broadcast_rows)
     same = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["version"] == b["version"])
-    read = src.join(wanted, same(src, wanted), "left_semi").dropDuplicates(["key", "version"]).select("key", "version", words(F.col(text)).alias("doc_words"))
-    pairs = read.join(hits, same(read, hits)).select(read["key"], "doc_words", "item", "shift").join(small(items, broadcast_rows // 10), "item")
+    read = src.join(wanted, same(src, wanted), "left_semi").dropDuplicates(["key", "version"]).select("key", "version", words(F.col("text")).alias("doc_words"))
+    pairs = read.join(hits, same(read, hits)).select(read["key"], read["version"], "doc_words", "item", "shift").join(small(items, broadcast_rows // 10), "item")
     from_item = F.greatest(-F.col("shift"), F.lit(0))
     length = F.least(n, F.size("doc_words") - F.col("shift")) - from_item
     cut = lambda c, at: F.slice(c, at + 1, F.greatest(length, F.lit(0)))
     flags = F.zip_with(cut(F.col("item_words"), from_item), cut(F.col("doc_words"), from_item + F.col("shift")), lambda a, b: (a == b).cast("int"))
     width = F.least(n, F.lit(WINDOW))
-    pairs = pairs.select("key", "item", (from_item + F.col("shift")).alias("doc_start"), from_item.alias("item_start"), length.alias("n_words"), flags.alias("flags"), width.alias("width"))
+    pairs = pairs.select("key", "version", "item", (from_item + F.col("shift")).alias("doc_start"), from_item.alias("item_start"), length.alias("n_words"), flags.alias("flags"), width.alias("width"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_words") - F.col("width") + 1, F.lit(1))), lambda i: total(F.slice("flags", i, F.col("width")))))
     needed = F.col("width") - F.floor(F.col("width") * (WINDOW - EQUAL) / WINDOW)
     return pairs.where((F.col("n_words") >= F.col("width")) & (best >= needed)).select(
+        *["version"] * with_version,
         F.col("key").alias(key), F.col("item").alias(item), F.col("doc_start").cast("long"), (F.col("doc_start") + F.col("n_words")).cast("long").alias("doc_stop"), F.col("item_start").cast("long"), total(F.col("flags")).cast("long").alias("n_equal"), F.col("n_words").cast("long")
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that no benchmark item overlaps; rows that share a key with one that is overlapped go with it."""
-    found = small(written(overlaps(docs, benchmark, key, text).select(F.col(key).alias("__key")).distinct(), "contaminated"), BROADCAST_ROWS)
-    return docs.join(found, docs[key].eqNullSafe(found["__key"]), "left_anti")
+    """The rows of docs that no benchmark item overlaps."""
+    found = overlaps(docs, benchmark, key, text, with_version=True).select(F.col(key).alias("__key"), F.col("version").alias("__version")).distinct()
+    found = small(written(found, "contaminated"), BROADCAST_ROWS)
+    return docs.join(found, docs[key].eqNullSafe(found["__key"]) & (version(docs[text]) == found["__version"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,11 +155,12 @@ def with_spans(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSU
     row = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(F.coalesce(F.col(text), F.lit(""))))
     src = docs.select(*rest, base_spans(F.col(text)).alias("spans"))
     found = written(src.where(F.size("spans") > 0).select(row.alias("row"), F.array_distinct(value).alias("entities"), F.col(text).alias("text")), "personal")
+    # (row, __terms)
     told = written(disclosing(found, docs.select(F.col(text).alias("text")), "text", disclosure), "disclosing")
     if told.isEmpty():
         return src
     mine = src.withColumn("__row", F.when(F.size("spans") > 0, row))
-    out = mine.where("__row is null").withColumn("__terms", F.lit(None).cast("array<long>")).unionByName(mine.where("__row is not null").join(told, mine["__row"] == told["row"], "left").drop("row"))
+    out = mine.where("__row is null").withColumn("__terms", F.lit(None).cast("array<long>")).unionByName(mine.where("__row is not null").join(told.withColumnRenamed("row", "__row"), "__row", "left").select(*mine.columns, "__terms"))
     extra = F.when(F.size("__terms") > 0, outside(F.col("spans"), term_spans(F.coalesce(F.col(text), F.lit("")), F.col("__terms")))).otherwise(F.array().cast(SPAN))
     return out.select(*rest, F.concat("spans", extra).alias("spans"))
 

@@ -35,7 +35,7 @@ BROADCAST_ROWS = 1_000_000
 BORDER = 32
 #: Bytes of decimal ids in one piece of a node's list of ends.
 PIECE_BYTES = 1 << 20
-SCANNED = "part int, conv long, depth long, fp long, prev long, n_bytes long, upto long, hash long, role string, text string"
+SCANNED = "part int, conv long, depth long, fp long, prev long, n_bytes long, upto long, role string, text string"
 
 
 def powers(start: int, n: int) -> np.ndarray:
@@ -70,8 +70,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fps[run == 0] += fp
             uptos[run == 0] += upto
         open_conv, at, fp, upto = conv[-1], int(place[-1]) + 1, fps[-1], int(uptos[-1])
-        columns = [b.column(0), b.column(1), *map(pa.array, (place + 1, fps.view(np.int64), (fps - terms).view(np.int64), size, uptos)), b.column(2), b.column(4), b.column(5)]
-        yield pa.RecordBatch.from_arrays(columns, names=["part", "conv", "depth", "fp", "prev", "n_bytes", "upto", "hash", "role", "text"])
+        columns = [b.column(0), b.column(1), *map(pa.array, (place + 1, fps.view(np.int64), (fps - terms).view(np.int64), size, uptos)), b.column(4), b.column(5)]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "conv", "depth", "fp", "prev", "n_bytes", "upto", "role", "text"])
 
 
 def _carries(ends) -> dict[int, tuple[int, int, int, int]]:
@@ -119,7 +119,8 @@ def scanned(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role:
     out = written(dealt.mapInArrow(lean(_scan), SCANNED), "turns")
     last = F.max(F.struct("conv", "depth", "fp", "upto"))
     carries = _carries(out.groupBy("part").agg(F.min("conv").alias("first"), last.alias("last")).collect())  # one row a range
-    return out.mapInArrow(lean(_resumed(carries)), SCANNED) if carries else out
+    # written again, as later steps read it several times
+    return written(out.mapInArrow(lean(_resumed(carries)), SCANNED), "turns")
 
 
 KEY = ["depth", "fp", "split"]

@@ -269,8 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled_ro
             taken[1 - v] |= {x[1] for x in got}
             new += [(*x, 1 - v) for x in got]
         if new:
-            told = F.broadcast(spark.createDataFrame(new, "own long, version long, label double, view int"))
-            hit = docs.withColumn("__version", version()).join(told, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("__version") == told["version"])).select(*docs.columns, told["label"].alias("__label"), told["view"].alias("__view"))
+            told = F.broadcast(spark.createDataFrame(new, "__own long, __told long, __label double, __view int"))
+            same = F.col("doc_id").eqNullSafe(F.col("__own")) & (F.col("__version") == F.col("__told"))
+            hit = docs.withColumn("__version", version()).join(told, same).select(*docs.columns, "__label", "__view")
             once = hit.dropDuplicates(["doc_id", "text", "__view"])
             feats = feats.unionByName(written(viewed(once, F.col("__label").alias("label"), F.col("__view").alias("view")).mapInArrow(gather, shape), "quality-pseudo"))
 

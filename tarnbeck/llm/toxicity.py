@@ -7,7 +7,7 @@ The sample is drawn from the labels, by a hash of the key, before they meet the
 Labels, languages, sources and keys are never inputs of a score.
 
 Empty and null texts get the score of the bias alone; null labels are left out of learning; rows that repeat each count;
-without labelled rows every score is 0.5. Columns called score or predicted are replaced.
+without labelled rows of both classes there are no weights and every score is 0.5. Columns called like the results are replaced.
 """
 
 from __future__ import annotations
@@ -87,6 +87,8 @@ def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passe
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(k or 0, np.frombuffer(f, "<i4"), y) for b in batches for k, y, f in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        if len({y for _, _, y in seen}) < 2:
+            return
         seen.sort(key=lambda x: (x[0], x[2], zlib.crc32(x[1])))
         model, order, bias = Ftrl(bits), np.random.default_rng(seed), np.array([1 << bits], np.int64)
         for _ in range(passes):
@@ -99,9 +101,11 @@ def fit(rows: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, passe
     return (np.frombuffer(got.at, "<i8"), np.frombuffer(got.w, "<f8")) if got else (np.zeros(0, np.int64), np.zeros(0))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", bits: int = BITS, keep_text: bool = False) -> DataFrame:
-    """docs with score double and predicted int (1 if score >= 0.5) in place of the text, or beside it."""
-    rest = [c for c in docs.columns if c not in (text, "score", "predicted")] + [text] * keep_text
+def score(
+    docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", bits: int = BITS, keep_text: bool = False, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """docs with score double and predicted int (1 if score >= 0.5), or what names calls them, in place of the text or beside it."""
+    rest = [c for c in docs.columns if c not in (text, *names)] + [text] * keep_text
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +118,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
             code = np.unique(own[hit] << (bits + 1) | f[hit])
             s = np.bincount(code >> (bits + 1), weights=dense[code & ((1 << (bits + 1)) - 1)], minlength=b.num_rows) + dense[1 << bits]
             p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*rest, *names])
 
     src = docs.select(*rest, F.col(text).alias("__text"))
-    schema = T.StructType([*docs.select(*rest).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.select(*rest).schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return src.mapInArrow(lean(run), schema)
 
 

@@ -74,9 +74,13 @@ def test_null_keys_and_no_labels(spark, tmp_path):
     base = " ".join(f"w{i}" for i in range(60))
     docs = [(None, base, None, None, None), (None, base, "en", "s", 5), (None, base + " more", "en", "s", 5), (7, base, "en", "s", 5), (8, None, None, None, None), (8, "", "en", "s", 0), (None, None, None, None, None)]
     tables(spark, tmp_path, docs, [(None, None), (1, "")], [(None, None, None), (7, None, None)])
+    # without labels nothing is learnt and nothing is rejected; one of the copies stays, and texts without words
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    # without labels every score is the tie 0.5, which counts as toxic
-    assert got == []
+    assert sorted((r.doc_id, r.decoded) for r in got if r.doc_id is not None) == [(7, base), (8, "")]
+    assert [r.decoded for r in got if r.doc_id is None] == [""]
+    # one class alone teaches nothing either
+    tables(spark, tmp_path / "one", docs, [(1, "")], [(i, 1, 1) for i in range(12)])
+    assert corpus_pipeline.reject_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), f"{tmp_path}/one").count() == len(docs)
     tables(spark, tmp_path / "b", docs, [(None, None), (1, "")], [(i, 0, i % 2) for i in range(100, 300)])
     import os
 
@@ -85,3 +89,49 @@ def test_null_keys_and_no_labels(spark, tmp_path):
         kept = stage(spark, kept, str(tmp_path / "b"))
     rows = {(r.doc_id, r.decoded) for r in kept.collect()}
     assert (7, base) in rows and len([r for r in rows if r[1]]) == 1 and (8, "") in rows and os.path.exists(tmp_path)
+
+
+NAMES = "row own label score predicted version key item name node spans entities terms t id n_e groups share u v asked text_a".split()
+
+
+def test_clashing_columns(spark, sf, tmp_path):
+    """Extra columns called like what the operators use inside stay as they are, and results too."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in NAMES})
+    for path, df in (("plain", docs), ("wide", wide)):
+        df.write.parquet(f"{tmp_path}/{path}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{path}/{t}.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns, name
+        assert out.where(F.expr(" or ".join(f"{n} <> concat('{n}', doc_id)" for n in NAMES))).isEmpty(), name
+    for name in [q for q in __spark_entry__.queries() if q.startswith("op") and q[2].isdigit() and q[2:4] not in ("4_", "11", "12", "13")]:
+        got = [sorted(map(str, __spark_entry__.queries()[name](spark, f"{tmp_path}/{path}").collect())) for path in ("plain", "wide")]
+        assert got[0] == got[1], name
+
+
+def test_only_the_overlapped_text_of_a_key_goes(spark):
+    from tarnbeck.llm import decontamination
+
+    item = "the hidden benchmark question has rather more than thirteen words in a row to be found"
+    docs = spark.createDataFrame([(None, item), (None, "quite another harmless text"), (2, "short"), (3, item), (3, "harmless"), (3, item)], "doc_id long, text string")
+    got = decontamination.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(2, "short"), (3, "harmless"), (None, "quite another harmless text")]
+
+
+def test_ties_and_texts_without_words_are_kept(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from tarnbeck.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "a word", 7.0), (2, "", 8.0), (3, None, 9.0), (4, "?!", 1.0)], "doc_id long, text string, score double")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for bias, kept in ((0.0, {1, 2, 3, 4}), (5.0, {2, 3, 4})):
+        monkeypatch.setattr(toxicity, "fit", lambda rows, b=bias: (np.array([1 << toxicity.BITS]), np.array([b])))
+        got = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
+        assert {r.doc_id for r in got.collect()} == kept and got.where("doc_id = 2").first().score == 8.0
