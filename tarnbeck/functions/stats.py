@@ -42,20 +42,6 @@ def nearest_rank(c: Column, q: float) -> Column:
     return F.get(values, F.bround(F.lit(q) * (F.size(values) - 1), 0).cast("int"))
 
 
-def nearest_ranks(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """by, and a column for each q: nearest rank within a group of any size, from sorted counts and not from gathered lists.
-
-    Ranks come from running counts of distinct values, so a group's rows are pre-aggregated before the window sees them.
-    """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    at = counts.withColumn("__upto", F.sum("__c").over(w.orderBy("__v"))).withColumn("__n", F.sum("__c").over(w))
-    rank = lambda q: F.bround(F.lit(q) * (F.col("__n") - 1), 0)
-    return at.groupBy(*by).agg(*(F.min(F.when(F.col("__upto") > rank(q), F.col("__v"))).alias(name) for name, q in qs.items()))
-
-
 def percentile_bootstrap(df: DataFrame, by: str, value: str, draws: int = 10_000, seed: int = 20260101) -> DataFrame:
     """(by, n, mean, low, high): percentile bootstrap of the mean of each group.
 

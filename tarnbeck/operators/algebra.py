@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 AGGREGATES = ("mean", "median", "sum", "max", "min")
 
 
@@ -56,7 +58,11 @@ def run(df: DataFrame, ops: list[str]) -> DataFrame:
             return best.select(F.when(F.col("b.v") == F.col("a.v"), F.col("b.v")).alias("value"))
         else:
             v = F.col(f"`{op.column}`").cast("string").try_cast("double") if df.schema[op.column].dataType.typeName() == "string" else F.col(f"`{op.column}`").cast("double")
-            agg = {"mean": F.avg, "median": F.median, "sum": F.sum, "max": F.max, "min": F.min}[op.name]
+            if op.name == "median":
+                # without a value there is no group; the result is one row all the same
+                at = percentiles(df.select(v.alias("v")), [], "v", {"value": 0.5})
+                return at.agg(F.max("value").alias("value"))
+            agg = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}[op.name]
             return df.agg(agg(v).alias("value"))
     raise ValueError("no operation gives a value")
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import below
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], tie: str | None = None) -> DataFrame:
     """left with the values of the last right row of the same key at or before its time; null without one.
@@ -104,7 +106,8 @@ def dummies(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def factorized(df: DataFrame, column: str) -> DataFrame:
     """df with code: numbers of the sorted distinct values from 0, -1 for null."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__one", F.lit(1))
+    codes = below(values, column, "__one").select(column, F.col("below").alias("code"))
     return df.join(codes, column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
 
 

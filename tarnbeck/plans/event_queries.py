@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbeck.functions.stats import nearest_ranks, percentile_bootstrap
+from tarnbeck.functions.stats import percentile_bootstrap
+from tarnbeck.operators.ranks import nearest_ranks
 from tarnbeck.operators import conversations, frames, ledger, records, trials
 from tarnbeck.streaming import events as streams
 

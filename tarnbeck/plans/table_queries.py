@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
-from tarnbeck.operators import algebra, frames, grading, overlap, pool, profile, sampling, trials
+from tarnbeck.operators import algebra, frames, grading, linear, overlap, pool, profile, ranks, sampling, trials
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -153,9 +153,10 @@ def group_mode(spark, d):
 
 
 def describe_numbers(spark, d):
-    v = F.col("l_extendedprice")
-    q = [F.round(F.percentile(v, F.lit(p)), 4).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), *q)
+    v, li = F.col("l_extendedprice"), read(spark, d, "lineitem")
+    q = ranks.percentiles(li, ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    rest = li.groupBy("l_returnflag").agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return rest.join(q.select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p75"))), "l_returnflag")
 
 
 def correlations(spark, d):
@@ -178,7 +179,32 @@ def revenue_by_nation(spark, d):
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
 
 
+def median_by_priority(spark, d):
+    return ranks.nearest_ranks(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderdate", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+
+
+def rank_test_two(spark, d):
+    out = ranks.mann_whitney(read(spark, d, "lineitem"), "l_returnflag", "l_quantity", "R", "A")
+    return out.select("n_a", "n_b", "u_a", F.round("z", 6).alias("z"))
+
+
+def rank_test_many(spark, d):
+    return ranks.kruskal_wallis(read(spark, d, "part"), "p_brand", "p_size").select("n", "n_groups", F.round("h", 6).alias("h"))
+
+
+def rank_correlation(spark, d):
+    li = read(spark, d, "lineitem").select("l_quantity", F.floor("l_extendedprice").alias("price"))
+    return ranks.spearman(li, "l_quantity", "price").select("n", F.round("rho", 9).alias("rho"))
+
+
+def least_squares(spark, d):
+    fit = linear.least_squares(read(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"], ["l_returnflag"])
+    one = lambda i, name: F.round(F.col("coefficients")[i], 4).alias(name)
+    return fit.select("l_returnflag", "n", F.round("intercept", 3).alias("intercept"), one(0, "b_quantity"), one(1, "b_tax"), F.round("r2", 9).alias("r2"))
+
+
 QUERIES = {f.__name__: f for f in (
+    median_by_priority, rank_test_two, rank_test_many, rank_correlation, least_squares,
     integrity_mixed_cells, stratified_subset, overlap_share, file_set_overlap, classify_answers, grade_numeric, regrade_flips, profile_columns, profile_words, decile_shape, usable_columns,
     algebra_by_sql, unique_max, coverage_all_files, input_bytes, split_notebook_overlap, upsert_sizes, carried_rows, pivot_table, melt, dummies, factorize, group_mode, describe_numbers,
     correlations, band_join, top_orders, revenue_by_nation,
@@ -209,7 +235,23 @@ def _shape(table: str, c: str) -> str:
 
 _CUSTOMER = {"c_custkey": "numeric", "c_name": "text", "c_nationkey": "numeric", "c_acctbal": "numeric", "c_mktsegment": "text"}
 _PART = {"p_partkey": "numeric", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "numeric", "p_retailprice": "numeric"}
+MIDRANKS = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+NEAREST = ", ".join(f"v[round_even({q} * (n - 1), 0)::BIGINT + 1] AS {name}" for name, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)))
 ORACLE = {
+    "median_by_priority": f"WITH s AS (SELECT o_orderstatus, o_orderpriority, list(o_orderdate ORDER BY o_orderdate) AS v, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderstatus, o_orderpriority, {NEAREST} FROM s",
+    "rank_test_two": f"""WITH r AS (SELECT l_returnflag = 'R' AS is_a, {MIDRANKS.format(c='l_quantity')} AS r FROM lineitem WHERE l_returnflag IN ('R', 'A')),
+        t AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY l_quantity) x),
+        s AS (SELECT count(*) FILTER (is_a) AS n_a, count(*) FILTER (NOT is_a) AS n_b, sum(r) FILTER (is_a) AS ra FROM r),
+        u AS (SELECT n_a, n_b, ra - n_a::DOUBLE * (n_a + 1) / 2 AS u_a, (n_a + n_b)::DOUBLE AS n, ties FROM s, t)
+        SELECT n_a, n_b, u_a, round((u_a - n_a::DOUBLE * n_b / 2) / sqrt(n_a::DOUBLE * n_b / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u""",
+    "rank_test_many": f"""WITH r AS (SELECT p_brand, {MIDRANKS.format(c='p_size')} AS r FROM part WHERE p_size IS NOT NULL AND p_brand IS NOT NULL), g AS (SELECT count(*) AS n, sum(r) AS s FROM r GROUP BY p_brand),
+        t AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM part WHERE p_size IS NOT NULL AND p_brand IS NOT NULL GROUP BY p_size) x), a AS (SELECT sum(n)::BIGINT AS n, count(*) AS n_groups, sum(s * s / n) AS q FROM g)
+        SELECT n, n_groups, round((12 / (n::DOUBLE * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE * n * n - n)), 6) AS h FROM a, t""",
+    "rank_correlation": f"WITH v AS (SELECT l_quantity, floor(l_extendedprice) AS price FROM lineitem), r AS (SELECT {MIDRANKS.format(c='l_quantity')} AS x, {MIDRANKS.format(c='price')} AS y FROM v) SELECT count(*) AS n, round(corr(x, y), 9) AS rho FROM r",
+    "least_squares": """WITH c AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_tax) AS m2, var_pop(l_quantity) AS s11, covar_pop(l_quantity, l_tax) AS s12, var_pop(l_tax) AS s22,
+          covar_pop(l_quantity, l_extendedprice) AS t1, covar_pop(l_tax, l_extendedprice) AS t2, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1),
+        b AS (SELECT *, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM c)
+        SELECT l_returnflag, n, round(my - b1 * m1 - b2 * m2, 3) AS intercept, round(b1, 4) AS b_quantity, round(b2, 4) AS b_tax, round((b1 * t1 + b2 * t2) / v, 9) AS r2 FROM b""",
     "profile_words": f"""WITH c AS ({' UNION ALL '.join(_counts('customer', c, k) for c, k in _CUSTOMER.items())}), s AS ({' UNION ALL '.join(_shape('customer', c) for c, k in _CUSTOMER.items() if k == 'numeric')})
         SELECT "column", CASE WHEN kind = 'numeric' THEN concat_ws(', ', 'numeric', {_PRESENCE}, CASE WHEN w > 0.5 THEN 'almost all its values in one band' WHEN w < 0.25 THEN 'spread evenly across its range' ELSE 'spread across its range, heaviest in one band' END)
         WHEN d = 1 THEN concat_ws(', ', 'constant text', {_PRESENCE}) WHEN d = 0 THEN concat_ws(', ', 'text', {_PRESENCE}) ELSE concat_ws(', ', 'text', {_PRESENCE}, {_SPREAD}, CASE WHEN l <= 20 THEN 'short labels' ELSE 'long labels' END) END AS profile FROM c LEFT JOIN s USING ("column")""",

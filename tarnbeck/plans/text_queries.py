@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import stats
 from tarnbeck.functions import text as T
-from tarnbeck.operators import conversations, frames, overlap, pool, sampling
+from tarnbeck.operators import conversations, frames, overlap, pool, ranks, sampling
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -185,7 +185,7 @@ def token_budget_counts(spark, d):
 
 def length_quantiles(spark, d):
     docs = read(spark, d, "documents").select("lang", F.length("text").alias("n"))
-    return stats.nearest_ranks(docs, ["lang"], "n", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return ranks.nearest_ranks(docs, ["lang"], "n", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 def prompt_hashes(spark, d):

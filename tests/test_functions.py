@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import programs, stats
 from tarnbeck.functions import text as T
+from tarnbeck.operators import ranks
 
 
 def one(spark, rows, schema, *cols):
@@ -104,7 +105,7 @@ def test_sign_test(spark):
 def test_nearest_ranks_equal_the_gathered_form(spark):
     rows = [("a", float(i % 7)) for i in range(50)] + [("b", 1.0), ("c", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r.q for r in stats.nearest_ranks(df, ["k"], "v", {"q": 0.75}).collect()}
+    got = {r.k: r.q for r in ranks.nearest_ranks(df, ["k"], "v", {"q": 0.75}).collect()}
     want = {r.k: r.q for r in df.where("v is not null").groupBy("k").agg(stats.nearest_rank(F.col("v"), 0.75).alias("q")).collect()}
     assert got == want
 
