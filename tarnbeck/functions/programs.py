@@ -5,13 +5,13 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# ---- fixed values: calls that count as operations on data ----
-FRAME_CALLS = frozenset(
-    "groupby pivot pivot_table melt stack unstack merge join crosstab concat merge_asof set_index reset_index sort_values sort_index nlargest nsmallest drop dropna drop_duplicates fillna ffill bfill rename assign reindex set_axis query iloc at iat mask where replace clip astype to_numeric to_datetime to_timedelta select_dtypes get_dummies explode factorize map applymap pipe round interpolate truncate sample head tail mean median mode std var sem quantile sum prod min max count nunique value_counts unique agg aggregate apply transform cumsum cumprod cumcount cummax cummin diff pct_change rank abs skew kurt corr cov covariance corrwith rolling expanding ewm idxmax idxmin argsort dot describe size shape any all isna notna isin between duplicated to_numpy to_dict to_records to_csv to_list tolist itertuples iterrows values get items execute executemany executescript fetchall fetchone fetchmany".split()
-)
+from . import receivers
+
+# ---- fixed values: suffixes of tables, calls that only show ----
 TABLE_SUFFIXES = (".csv", ".tsv", ".parquet", ".json", ".jsonl", ".xlsx", ".xls", ".sqlite", ".db", ".txt")
 SILENT_CALLS = ("print", "display")
 # ---------------------------------------------------------------
@@ -24,13 +24,12 @@ def tree(source: str | None) -> ast.Module | None:
         return None
 
 
-def methods(source: str | None) -> list[str]:
-    """Sorted names of the data operations that a program calls or uses; nothing for what is no program."""
-    found = set()
-    for node in ast.walk(tree(source) or ast.Module([], [])):
-        if isinstance(node, ast.Attribute) and node.attr in FRAME_CALLS and not isinstance(node.value, ast.Constant):
-            found.add(node.attr)
-    return sorted(found)
+def methods(source: str | None) -> dict[str, int]:
+    """How often a program calls each operation on data, by name in order; nothing for what is no program."""
+    try:
+        return receivers.counts(tree(source) or ast.Module([], []))
+    except RecursionError:
+        return {}
 
 
 def facts(source: str | None, columns: int = 20, filters: int = 12) -> dict:
@@ -98,9 +97,19 @@ _NAMES = T.ArrayType(T.StringType())
 
 @F.pandas_udf(_NAMES)
 def method_names(source: pd.Series) -> pd.Series:
+    return source.map(lambda s: list(methods(s)))
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+def method_counts(source: pd.Series) -> pd.Series:
     return source.map(methods)
 
 
+def method_hint(source: Column) -> Column:
+    """The operations' names in one line."""
+    return F.array_join(method_names(source), ", ")
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, _NAMES) for n in ("files", "columns", "filters")]))
 def code_facts(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([facts(s) for s in source], columns=["files", "columns", "filters"])

@@ -1,18 +1,13 @@
-"""Grading of predictions: numeric with tolerance, exact texts, booleans, lists, and equality of arithmetic expressions.
-
-Expressions are equal where exact fractions of them are: numbers, + - * / ^ and brackets. Algebra with names is not offered.
-"""
+"""Grading of predictions: numeric with tolerance, exact texts, booleans, lists, and equality of arithmetic expressions."""
 
 from __future__ import annotations
 
-import ast
-from fractions import Fraction
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from tarnbeck.functions import symbols
 from tarnbeck.functions import text as T
 
 
@@ -57,45 +52,7 @@ def rewards(answer: Column, prediction: Column, mode: Column, atol: Column, rtol
     return F.struct(r.alias("reward"), s.alias("shape"), (r + F.lit(weight) * s).alias("total"))
 
 
-#: Characters of an expression, and the size of an exponent, beyond which it is not worked out.
-EXPRESSION_LENGTH, EXPONENT = 200, 64
-
-
-def exact(text: str | None) -> Fraction | None:
-    """The value of an arithmetic expression, None for anything else."""
-    if not text or len(text) > EXPRESSION_LENGTH:
-        return None
-    plain = text.strip().strip("$").replace("\\cdot", "*").replace("\\times", "*").replace("^", "**").replace(",", "")
-    if plain.endswith("%"):
-        inner = exact(plain[:-1])
-        return None if inner is None else inner / 100
-
-    def value(x: ast.AST) -> Fraction:
-        if isinstance(x, ast.Constant) and type(x.value) in (int, float):
-            return Fraction(ast.get_source_segment(plain, x).replace("_", ""))
-        if isinstance(x, ast.UnaryOp) and isinstance(x.op, (ast.USub, ast.UAdd)):
-            return -value(x.operand) if isinstance(x.op, ast.USub) else value(x.operand)
-        if isinstance(x, ast.BinOp):
-            a, b = value(x.left), value(x.right)
-            if isinstance(x.op, ast.Add):
-                return a + b
-            if isinstance(x.op, ast.Sub):
-                return a - b
-            if isinstance(x.op, ast.Mult):
-                return a * b
-            if isinstance(x.op, ast.Div):
-                return a / b
-            if isinstance(x.op, ast.Pow) and b.denominator == 1 and abs(b) <= EXPONENT:
-                return a ** int(b)
-        raise ValueError("no arithmetic")
-
-    try:
-        return value(ast.parse(plain, mode="eval").body)
-    except (SyntaxError, ValueError, ZeroDivisionError, RecursionError, MemoryError):
-        return None
-
-
 @F.pandas_udf(BooleanType())
 def same_expression(gold: pd.Series, got: pd.Series) -> pd.Series:
-    """Whether two texts are equal as exact arithmetic."""
-    return pd.Series([(a := exact(x)) is not None and a == exact(y) for x, y in zip(gold, got, strict=True)], dtype=bool)
+    """Whether two texts are the same arithmetic expression, names included."""
+    return pd.Series([symbols.equal(x, y) for x, y in zip(gold, got, strict=True)], dtype=bool)

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbeck.functions import programs
 from tarnbeck.functions import text as T
 from tarnbeck.operators import algebra, frames, grading, linear, overlap, pool, profile, ranks, sampling, trials
 
@@ -203,8 +204,47 @@ def least_squares(spark, d):
     return fit.select("l_returnflag", "n", F.round("intercept", 3).alias("intercept"), one(0, "b_quantity"), one(1, "b_tax"), F.round("r2", 9).alias("r2"))
 
 
+#: Programs over a part's values, by p_size modulo their number, and the operations that they call on data.
+PROGRAMS = (
+    ("import os\nimport pandas as pd\ndf = pd.read_csv(os.path.join('in', '{b}.csv'))\nprint(', '.join(df.columns))\nx = df.groupby('{t}').mean()", "groupby, mean"),
+    ("import sqlite3\ncur = sqlite3.connect('{b}.db').cursor()\nrows = cur.execute('select {n}').fetchall()\nprint(len(rows))", "sql"),
+    ("import csv\nrows = list(csv.DictReader(open('{b}.csv')))\nseen = {{}}\nfor r in rows:\n    k = r.get('{t}').replace(' ', '')\n    seen[k] = seen.get(k, 0) + 1", "get"),
+    ("import pandas as pd\ndef load(p):\n    return pd.read_csv(p)\na, b = load('{b}.csv'), load('x.csv')\nm = pd.merge(a, b).dropna()['{t}'].value_counts().head({n})", "dropna, head, merge, value_counts"),
+    ("path = '{b}'\nname = path.replace('#', '').join(['{t}'])", ""),
+)
+#: Pairs of expressions with p_size in them, and SQL for when they are equal.
+EXPRESSIONS = (
+    ("{n}(x+1)", "{n}x+{n}", "true"),
+    ("(x+{n})^2", "x^2+{n}x+{n}x+{n}^2", "true"),
+    ("{n}x/y", "x*7/y", "p_size = 7"),
+    ("(x^2-{n}^2)/(x-{n})", "x+{n}", "true"),
+    ("{n}%", "{n}/50", "p_size = 0"),
+    ("a_{n}", "a", "false"),
+)
+
+
+def _filled(template: str) -> F.Column:
+    """A template with a part's values in the places of {b}, {t} and {n}."""
+    out = F.lit(template.replace("{{", "{").replace("}}", "}"))
+    for mark, value in (("{b}", "p_brand"), ("{t}", "p_type"), ("{n}", "p_size")):
+        out = F.replace(out, F.lit(mark), F.col(value).cast("string"))
+    return out
+
+
+def method_hints(spark, d):
+    p = read(spark, d, "part")
+    source = F.get(F.array(*(_filled(s) for s, _ in PROGRAMS)), F.col("p_size") % len(PROGRAMS))
+    return p.select("p_partkey", programs.method_hint(source).alias("hint"))
+
+
+def symbolic_answers(spark, d):
+    pairs = F.array(*(F.struct(F.lit(i).alias("pair"), _filled(a).alias("gold"), _filled(b).alias("got")) for i, (a, b, _) in enumerate(EXPRESSIONS)))
+    cells = read(spark, d, "part").select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
+    return cells.select("p_partkey", "pair", grading.same_expression("gold", "got").alias("same"))
+
+
 QUERIES = {f.__name__: f for f in (
-    median_by_priority, rank_test_two, rank_test_many, rank_correlation, least_squares,
+    method_hints, symbolic_answers, median_by_priority, rank_test_two, rank_test_many, rank_correlation, least_squares,
     integrity_mixed_cells, stratified_subset, overlap_share, file_set_overlap, classify_answers, grade_numeric, regrade_flips, profile_columns, profile_words, decile_shape, usable_columns,
     algebra_by_sql, unique_max, coverage_all_files, input_bytes, split_notebook_overlap, upsert_sizes, carried_rows, pivot_table, melt, dummies, factorize, group_mode, describe_numbers,
     correlations, band_join, top_orders, revenue_by_nation,
@@ -237,7 +277,10 @@ _CUSTOMER = {"c_custkey": "numeric", "c_name": "text", "c_nationkey": "numeric",
 _PART = {"p_partkey": "numeric", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "numeric", "p_retailprice": "numeric"}
 MIDRANKS = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 NEAREST = ", ".join(f"v[round_even({q} * (n - 1), 0)::BIGINT + 1] AS {name}" for name, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)))
+_HINTS = " ".join(f"WHEN {i} THEN '{hint}'" for i, (_, hint) in enumerate(PROGRAMS))
 ORACLE = {
+    "method_hints": f"SELECT p_partkey, CASE p_size % {len(PROGRAMS)} {_HINTS} END AS hint FROM part",
+    "symbolic_answers": " UNION ALL ".join(f"SELECT p_partkey, {i} AS pair, {when} AS same FROM part" for i, (_, _, when) in enumerate(EXPRESSIONS)),
     "median_by_priority": f"WITH s AS (SELECT o_orderstatus, o_orderpriority, list(o_orderdate ORDER BY o_orderdate) AS v, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderstatus, o_orderpriority, {NEAREST} FROM s",
     "rank_test_two": f"""WITH r AS (SELECT l_returnflag = 'R' AS is_a, {MIDRANKS.format(c='l_quantity')} AS r FROM lineitem WHERE l_returnflag IN ('R', 'A')),
         t AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY l_quantity) x),
