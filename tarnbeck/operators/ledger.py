@@ -93,3 +93,32 @@ def rung_schedule(events: DataFrame, key: str, order: str, reward: str, start: s
             yield pd.DataFrame({key: pdf[key], order: pdf[order], "rung": out})
 
     return src.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, rung string")
+
+
+#: What an event tells a supervisor: a result, a failed result, a health check that passed, one that failed.
+KINDS = ("result", "failure", "healthy", "unhealthy")
+
+
+def alarms(events: DataFrame, key: str, ms: str, order: str, kind: str, until: Column, stall_ms: int = 300_000, window: int = 10, share: float = 0.5, fails: int = 3) -> DataFrame:
+    """(key, reason, at): alarms of a key's events (time in milliseconds, one of KINDS) up to and including `until`.
+
+    stall: no result for stall_ms since the last one (or the key's first event), at the end of that time; a result ends it.
+    errors: of the last `window` results, at least max(3, window // 2), a share are failures; told when it begins to hold.
+    health: `fails` failed checks in a row; a passed one ends it. Ties of time go by `order`; other kinds only mark time.
+    """
+    src = events.where((F.col(ms) <= until) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(ms).alias("ms"), F.col(order).alias("o"), F.col(kind).alias("kind"))
+    w = Window.partitionBy("k").orderBy("ms", "o")
+    result, check = F.col("kind").isin("result", "failure"), F.col("kind").isin("healthy", "unhealthy")
+    # a key's first event counts as a result for the stall alone
+    marks = src.withColumn("first", F.row_number().over(w) == 1).where(result | F.col("first")).withColumn("next", F.lead("ms").over(w))
+    end = F.col("ms") + stall_ms
+    # a first event that is no result, and the result after it, are neighbours like any two results
+    stalls_ = marks.where((F.coalesce("next", until + 1) >= end) & (end <= until)).select("k", F.lit("stall").alias("reason"), end.alias("at"))
+    last = w.rowsBetween(-(window - 1), 0)
+    rolled = src.where(result).select("k", "ms", "o", F.count(F.lit(1)).over(last).alias("n"), F.count_if(F.col("kind") == "failure").over(last).alias("bad"))
+    held = rolled.withColumn("held", (F.col("n") >= max(3, window // 2)) & (F.col("bad") >= share * F.col("n")))
+    errors = held.withColumn("before", F.lag("held", 1, False).over(w)).where("held and not before").select("k", F.lit("errors").alias("reason"), F.col("ms").alias("at"))
+    runs = src.where(check).withColumn("run", F.count_if(F.col("kind") == "healthy").over(w)).where("kind = 'unhealthy'")
+    nth = runs.withColumn("i", F.row_number().over(Window.partitionBy("k", "run").orderBy("ms", "o"))).where(F.col("i") == fails)
+    health = nth.select("k", F.lit("health").alias("reason"), F.col("ms").alias("at"))
+    return stalls_.unionByName(errors).unionByName(health).withColumnRenamed("k", key)

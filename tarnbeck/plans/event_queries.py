@@ -229,14 +229,36 @@ def session_windows(spark, d):
     return out.select("user_id", F.unix_micros("session_window.start").alias("start"), F.unix_micros("session_window.end").alias("stop"), "n")
 
 
+#: What the event types stand for under supervision.
+SIGNALS = {"view": "result", "click": "result", "error": "failure", "purchase": "healthy", "signup": "unhealthy"}
+
+
+def supervisor_alarms(spark, d):
+    kind = F.create_map(*(F.lit(x) for pair in SIGNALS.items() for x in pair))[F.col("event_type")]
+    e = events(spark, d).select("user_id", "event_id", F.floor(seconds() * 1000).cast("long").alias("ms"), kind.alias("kind"))
+    until = F.lit(1_706_600_000_000).cast("long")
+    return ledger.alarms(e, "user_id", "ms", "event_id", "kind", until, stall_ms=86_400_000, window=6, share=0.5, fails=2)
+
+
 QUERIES = {f.__name__: f for f in (
+    supervisor_alarms,
     error_windows, sliding_windows, session_windows,
     two_level_pass_rate, first_passing_rung_hist, monotonicity_sign_test, control_effect_paired, consistency_by_cell, ceiling, headroom_curve, control_grouping_sets, common_set_report,
     bootstrap_ci, retry_agreement, climb_gaps, climb_replay, marginality, distribution, describe_nearest_rank, ledger_intervals, ledger_spend, monitor_stall, monitor_error_share,
     rung_scheduler, measured_fold, steps_per_second, repeat_guard, asof_last_view, running_columns, forward_fill, interpolation, ewm, moments, crosstab, gold_regrade, launch_records, stop_shares,
 )}
 
+_KIND = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNALS.items())
+_OVER = "(PARTITION BY user_id ORDER BY ms, event_id"
 ORACLE = {
+    "supervisor_alarms": f"""WITH e AS (SELECT user_id, event_id, floor(epoch_us(ts) / 1000)::BIGINT AS ms, CASE event_type {_KIND} END AS kind FROM events), s AS (SELECT *, row_number() OVER {_OVER}) = 1 AS first FROM e WHERE ms <= 1706600000000),
+        m AS (SELECT *, lead(ms) OVER {_OVER}) AS nxt FROM s WHERE first OR kind IN ('result', 'failure')),
+        r AS (SELECT *, count(*) OVER {_OVER} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS n, sum((kind = 'failure')::INT) OVER {_OVER} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS bad FROM s WHERE kind IN ('result', 'failure')),
+        h AS (SELECT *, n >= 3 AND bad >= 0.5 * n AS held FROM r), g AS (SELECT *, coalesce(lag(held) OVER {_OVER}), false) AS was FROM h),
+        c AS (SELECT *, sum((kind = 'healthy')::INT) OVER {_OVER} ROWS UNBOUNDED PRECEDING) AS run FROM s WHERE kind IN ('healthy', 'unhealthy')),
+        i AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ms, event_id) AS i FROM c WHERE kind = 'unhealthy')
+        SELECT user_id, 'stall' AS reason, ms + 86400000 AS "at" FROM m WHERE ms + 86400000 <= 1706600000000 AND coalesce(nxt, 1706600000001) >= ms + 86400000
+        UNION ALL SELECT user_id, 'errors', ms FROM g WHERE held AND NOT was UNION ALL SELECT user_id, 'health', ms FROM i WHERE i = 2""",
     "error_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL",
     "sliding_windows": "SELECT (floor(epoch_us(ts) / 900000000) - k)::BIGINT * 900 AS start, count(*) AS n, round(avg((event_type = 'purchase')::INT), 6) AS rate FROM events, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1",
     "session_windows": "WITH a AS (SELECT user_id, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS i FROM a) SELECT user_id, min(t) AS start, max(t) + 21600000000 AS stop, count(*) AS n FROM b GROUP BY user_id, i",
