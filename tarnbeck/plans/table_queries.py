@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import programs
 from tarnbeck.functions import text as T
-from tarnbeck.operators import algebra, frames, grading, linear, overlap, pool, profile, ranks, sampling, trials
+from tarnbeck.operators import algebra, frames, grading, linear, overlap, pool, profile, ranks, sampling, staging, trials
+from tarnbeck.sources import readers
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -243,8 +244,21 @@ def symbolic_answers(spark, d):
     return cells.select("p_partkey", "pair", grading.same_expression("gold", "got").alias("same"))
 
 
+#: Separator and encoding of the files that tree_scan writes, by c_custkey modulo their number.
+DIALECTS = ((",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "UTF-8"))
+
+
+def tree_scan(spark, d):
+    c, root = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), staging.shared_path(spark, "tree")
+    for i, (sep, encoding) in enumerate(DIALECTS):
+        c.where(F.col("c_custkey") % len(DIALECTS) == i).write.csv(f"{root}/{i}", sep=sep, header=True, encoding=encoding)
+    rows, v = readers.read_tree(spark, root, split_bytes=16_384), F.col("values")
+    total = F.round(F.sum(v["c_acctbal"].cast("double")), 2).alias("total")
+    return rows.groupBy(v["c_mktsegment"].alias("segment")).agg(F.count("*").alias("n"), total, F.count("error").alias("errors"))
+
+
 QUERIES = {f.__name__: f for f in (
-    method_hints, symbolic_answers, median_by_priority, rank_test_two, rank_test_many, rank_correlation, least_squares,
+    tree_scan, method_hints, symbolic_answers, median_by_priority, rank_test_two, rank_test_many, rank_correlation, least_squares,
     integrity_mixed_cells, stratified_subset, overlap_share, file_set_overlap, classify_answers, grade_numeric, regrade_flips, profile_columns, profile_words, decile_shape, usable_columns,
     algebra_by_sql, unique_max, coverage_all_files, input_bytes, split_notebook_overlap, upsert_sizes, carried_rows, pivot_table, melt, dummies, factorize, group_mode, describe_numbers,
     correlations, band_join, top_orders, revenue_by_nation,
@@ -279,6 +293,7 @@ MIDRANKS = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)
 NEAREST = ", ".join(f"v[round_even({q} * (n - 1), 0)::BIGINT + 1] AS {name}" for name, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)))
 _HINTS = " ".join(f"WHEN {i} THEN '{hint}'" for i, (_, hint) in enumerate(PROGRAMS))
 ORACLE = {
+    "tree_scan": "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS total, 0 AS errors FROM customer GROUP BY 1",
     "method_hints": f"SELECT p_partkey, CASE p_size % {len(PROGRAMS)} {_HINTS} END AS hint FROM part",
     "symbolic_answers": " UNION ALL ".join(f"SELECT p_partkey, {i} AS pair, {when} AS same FROM part" for i, (_, _, when) in enumerate(EXPRESSIONS)),
     "median_by_priority": f"WITH s AS (SELECT o_orderstatus, o_orderpriority, list(o_orderdate ORDER BY o_orderdate) AS v, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderstatus, o_orderpriority, {NEAREST} FROM s",

@@ -7,11 +7,14 @@ so that paths in any store work.
 from __future__ import annotations
 
 import csv
+import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import SqliteSource, XlsxSource
+from .tables import register
+from .trees import TextTables
 
 SEPARATORS = (",", ";", "\t", "|")
 SNIFF_LINES = 50
@@ -50,8 +53,9 @@ def read_lines(spark: SparkSession, paths: str | list[str], schema=None, drop_ba
     return (reader.schema(schema) if schema else reader).json(paths)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its suffix."""
+def read_any(spark: SparkSession, path: str, tables: Sequence[str] | None = None) -> DataFrame:
+    """A table by its suffix; of SQLite files and spreadsheets those tables that are asked for."""
+    asked = {} if tables is None else {"tables": json.dumps(list(tables))}
     suffix = path.lower().rsplit(".", 1)[-1]
     if suffix in ("parquet", "parq"):
         return spark.read.parquet(path)
@@ -60,14 +64,36 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     if suffix == "json":
         return read_json_table(spark, path)
     if suffix in ("sqlite", "sqlite3", "db"):
-        spark.dataSource.register(SqliteSource)
-        return spark.read.format("sqlite_tables").option("path", path).load()
+        register(spark)
+        return spark.read.format("sqlite_tables").options(path=path, **asked).load()
     if suffix in ("xlsx", "xlsm"):
-        spark.dataSource.register(XlsxSource)
-        return spark.read.format("xlsx_rows").option("path", path).load()
+        register(spark)
+        return spark.read.format("xlsx_rows").options(path=path, **asked).load()
     return read_delimited(spark, path)
 
 
+def read_tree(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """(path, at, values, error) of all delimited files below a folder; see sources.trees for the options."""
+    spark.dataSource.register(TextTables)
+    return spark.read.format("text_tables").options(**options).load(root)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str | None = None, where: Sequence[tuple] = (), **options: object) -> DataFrame:
+    """A table of a SQLite file with its own columns, or those of schema alone.
+
+    where: (column, sign, value) tests that all hold, with =, >, >=, <, <=, in or is not null; they go into the query, and are
+    tested again here. The columns tested have to be among those read.
+    """
+    register(spark)
+    reader = spark.read.format("sqlite_tables").options(path=path, table=table, where=json.dumps(list(where)), **options)
+    df = (reader.schema(schema) if schema else reader).load()
+    for name, sign, value in where:
+        c = F.col(f"`{name}`")
+        tests = {"=": c.__eq__, ">": c.__gt__, ">=": c.__ge__, "<": c.__lt__, "<=": c.__le__, "in": c.isin, "is not null": lambda _, c=c: c.isNotNull()}
+        df = df.where(tests[sign](value))
+    return df
+
+
 def read_results(spark: SparkSession, root: str, schema) -> DataFrame:
     """Result files <root>/<task>/<rung>[/s<sample>]/result.json, with task, rung and sample from the path; a recorded sample wins.
 
