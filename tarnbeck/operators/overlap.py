@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions.text import NEAR_DUP_BAND, answers_agree, char_ngrams, jaccard, normalise_question, tokens
 
+from .staging import written
+
+
 def held_out_keys(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """(name, value): distinct keys that are not null or empty."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in keys.items())))
@@ -42,16 +45,14 @@ def question_matches(subject: DataFrame, reference: DataFrame) -> DataFrame:
     return s.join(by_text, "norm").join(by_table, ["norm", "s_table"], "left").select("s_id", F.coalesce("own", "best").alias("r_id"), F.col("own").isNotNull().alias("same_table"))
 
 
-def near_duplicate_pairs(subject: DataFrame, reference: DataFrame, band: tuple[float, float] = NEAR_DUP_BAND[-1], exclude_exact: bool = True) -> DataFrame:
-    """(s_id, r_id, jaccard, ngram): pairs of (id, question) with both similarities at or over the band.
+def token_pairs(subject: DataFrame, reference: DataFrame, t: float) -> DataFrame:
+    """(s_id, r_id, jaccard): pairs of (id, question) whose token sets have a similarity of t, over 0, or more.
 
     Prefix-filtered: of sets with token similarity t, the first n - ceil(t n) + 1 tokens in a common order have one in
     common, so rare tokens alone are joined on, with the size bound in the join. The order is by frequency, tokens that the
     reference lacks first: those join nothing, and a subject with so many of them that they fill its prefix goes at once,
-    as does one that is too large or too small for every reference row. Token sets are compared first; normal forms are
-    made again only for the pairs that pass.
+    as does one that is too large or too small for every reference row.
     """
-    t = band[0]
     r = reference.select(F.col("id").alias("r_id"), tokens(F.col("question")).alias("tokens")).withColumn("r_n", F.size("tokens")).where("r_n > 0")
     s = subject.select(F.col("id").alias("s_id"), tokens(F.col("question")).alias("tokens")).withColumn("s_n", F.size("tokens")).where("s_n > 0")
     least, most = r.agg(F.min("r_n"), F.max("r_n")).first()
@@ -70,16 +71,48 @@ def near_duplicate_pairs(subject: DataFrame, reference: DataFrame, band: tuple[f
         left = length - (F.col(f"{p}_n") - F.size("known"))
         return rows.select(f"{p}_id", f"{p}_n", F.explode(F.slice("known", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))["token"]).alias("token"))
 
-    size_ok = (F.least("s_n", "r_n") >= F.lit(t) * F.greatest("s_n", "r_n") - 1e-9)
+    size_ok = F.least("s_n", "r_n") >= F.lit(t) * F.greatest("s_n", "r_n") - 1e-9
     pairs = prefix(s, "s").join(prefix(r, "r"), "token").where(size_ok).select("s_id", "r_id").distinct()
     sets = lambda df, p: df.select(f"{p}_id", F.col("tokens").alias(f"{p}_tokens"))
-    close = pairs.join(sets(s, "s"), "s_id").join(sets(r, "r"), "r_id").select("s_id", "r_id", jaccard(F.col("s_tokens"), F.col("r_tokens")).alias("jaccard")).where(F.col("jaccard") >= t)
+    close = pairs.join(sets(s, "s"), "s_id").join(sets(r, "r"), "r_id")
+    return close.select("s_id", "r_id", jaccard(F.col("s_tokens"), F.col("r_tokens")).alias("jaccard")).where(F.col("jaccard") >= t)
+
+
+def _with_forms(pairs: DataFrame, subject: DataFrame, reference: DataFrame, exclude_exact: bool) -> DataFrame:
+    """pairs with the normal forms of both texts (s_norm, r_norm), made again only for them."""
     norm = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), normalise_question(F.col("question")).alias(f"{p}_norm"))
-    scored = close.join(norm(subject, "s"), "s_id").join(norm(reference, "r"), "r_id")
-    if exclude_exact:
-        scored = scored.where("s_norm <> r_norm")
-    scored = scored.withColumn("ngram", jaccard(char_ngrams(F.col("s_norm")), char_ngrams(F.col("r_norm")))).where(F.col("ngram") >= band[1])
-    return scored.select("s_id", "r_id", "jaccard", "ngram")
+    both = pairs.join(norm(subject, "s"), "s_id").join(norm(reference, "r"), "r_id")
+    return both.where("s_norm <> r_norm") if exclude_exact else both
+
+
+def _grams() -> Column:
+    return jaccard(char_ngrams(F.col("s_norm")), char_ngrams(F.col("r_norm")))
+
+
+def near_duplicate_pairs(subject: DataFrame, reference: DataFrame, band: tuple[float, float] = NEAR_DUP_BAND[-1], exclude_exact: bool = True) -> DataFrame:
+    """(s_id, r_id, jaccard, ngram): pairs of (id, question) with both similarities at or over the band."""
+    scored = _with_forms(token_pairs(subject, reference, band[0]), subject, reference, exclude_exact)
+    return scored.withColumn("ngram", _grams()).where(F.col("ngram") >= band[1]).select("s_id", "r_id", "jaccard", "ngram")
+
+
+#: Similarities at which the search for the best pairs widens; the last one leaves out nothing that shares a token.
+STEPS = (1.0, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1, 1e-9)
+
+
+def top_pairs(subject: DataFrame, reference: DataFrame, k: int, exclude_exact: bool = True, steps: tuple[float, ...] = STEPS) -> DataFrame:
+    """(s_id, r_id, jaccard, ngram): the k best pairs of (id, question) by jaccard, ngram and then the smaller ids.
+
+    The threshold falls until k pairs reach it: those are better than all pairs below it, which are neither joined nor
+    scored. The k-th best token similarity then is the threshold for scoring n-grams. Only pairs that share a token count,
+    so there may be fewer than k. Ids that repeat make a pair each.
+    """
+    for t in steps:
+        found = written(_with_forms(token_pairs(subject, reference, t), subject, reference, exclude_exact), "pairs")
+        if t == steps[-1] or found.count() >= k:
+            break
+    least = found.orderBy(F.desc("jaccard")).limit(k).agg(F.min("jaccard")).first()[0]
+    best = found.where(F.col("jaccard") >= F.lit(least)).withColumn("ngram", _grams()).select("s_id", "r_id", "jaccard", "ngram")
+    return best.orderBy(F.desc("jaccard"), F.desc("ngram"), "s_id", "r_id").limit(k)
 
 
 def sensitivity(pairs: DataFrame, bands: tuple[tuple[float, float], ...] = NEAR_DUP_BAND) -> DataFrame:

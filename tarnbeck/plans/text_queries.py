@@ -45,11 +45,15 @@ def exact_dups(spark, d):
     return overlap.question_matches(*two_collections(spark, d))
 
 
-def _near(spark, d) -> DataFrame:
+def _titles(spark, d) -> tuple[DataFrame, DataFrame]:
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
     # beside the documents, the items without their first word
     edited = items.select((-1 - F.col("id")).alias("id"), F.regexp_replace("question", r"^\S+\s+", "").alias("question"))
-    return overlap.near_duplicate_pairs(frames.spread(questions(spark, d).select("id", "question")).unionByName(edited), items, exclude_exact=False)
+    return frames.spread(questions(spark, d).select("id", "question")).unionByName(edited), items
+
+
+def _near(spark, d) -> DataFrame:
+    return overlap.near_duplicate_pairs(*_titles(spark, d), exclude_exact=False)
 
 
 def near_dups(spark, d):
@@ -57,6 +61,11 @@ def near_dups(spark, d):
     return out.withColumns({"jaccard": F.round("jaccard", 6), "ngram": F.round("ngram", 6)})
 
 
+def near_dups_top(spark, d):
+    out = overlap.top_pairs(*_titles(spark, d), 25)
+    return out.withColumns({"jaccard": F.round("jaccard", 6), "ngram": F.round("ngram", 6)})
+
+
 def near_dup_sensitivity(spark, d):
     return overlap.sensitivity(_near(spark, d))
 
@@ -200,7 +209,7 @@ def _kappa(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalised_text, token_sets, exact_dups, near_dups, near_dup_sensitivity, decontaminate_firewall, firewall_drop_reasons, disagreements_same_key, distinct_on_shared_key,
+    normalised_text, token_sets, exact_dups, near_dups, near_dups_top, near_dup_sensitivity, decontaminate_firewall, firewall_drop_reasons, disagreements_same_key, distinct_on_shared_key,
     pool_funnel_counts, pool_kept, regex_tags, leak_check, scrub_secrets, scrub_pages, wilson_by_criterion, contingency_paired, blind_sample, hash_train_val_split, stable_split,
     trajectory_shape, role_runs, loop_detection, reason_chain_export, token_budget_counts, length_quantiles, prompt_hashes,
 )} | {"cohens_kappa": _kappa}
@@ -233,6 +242,7 @@ ORACLE = {
     "token_sets": f"WITH a AS (SELECT item_id, {N} AS n FROM benchmark) SELECT item_id, array_to_string({TOKENS.format(n='n')}, ' ') AS tokens, len({GRAMS.format(n='n')}) AS n_grams FROM a",
     "exact_dups": f"WITH q AS (SELECT doc_id AS id, {N} AS n, source FROM documents), s AS (SELECT * FROM q WHERE id IN (SELECT doc_id FROM labels) AND n <> ''), r AS (SELECT * FROM q WHERE id NOT IN (SELECT doc_id FROM labels)) SELECT s.id AS s_id, coalesce(max(r.id) FILTER (r.source = s.source), max(r.id)) AS r_id, bool_or(r.source = s.source) AS same_table FROM s JOIN r ON s.n = r.n GROUP BY s.id",
     "near_dups": f"WITH {TITLES} SELECT s_id, r_id, round(jaccard, 6) AS jaccard, round(ngram, 6) AS ngram FROM q WHERE ngram >= 0.4",
+    "near_dups_top": f"WITH {TITLES.replace('jaccard >= 0.6', 'sn <> rn')} SELECT s_id, r_id, round(jaccard, 6) AS jaccard, round(ngram, 6) AS ngram FROM q ORDER BY q.jaccard DESC, q.ngram DESC, s_id, r_id LIMIT 25",
     "near_dup_sensitivity": f"WITH {TITLES}, u AS (SELECT * FROM (VALUES (0.9::DOUBLE, 0.8::DOUBLE), (0.8, 0.6), (0.7, 0.5), (0.6, 0.4)) v(jaccard_floor, ngram_floor)) SELECT jaccard_floor, ngram_floor, count(s_id) AS pairs FROM u LEFT JOIN q ON jaccard >= jaccard_floor AND ngram >= ngram_floor GROUP BY ALL",
     "decontaminate_firewall": f"WITH {HELD} SELECT doc_id FROM f WHERE reason IS NULL",
     "firewall_drop_reasons": f"WITH {HELD} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM f GROUP BY 1",

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tarnbeck.functions import text as T
 from tarnbeck.operators import algebra, conversations, frames, grading, ledger, overlap, pool, profile, sampling, trials
 
 TRIAL = "task string, rung string, finished boolean, passed boolean"
@@ -136,3 +137,27 @@ def test_asof_and_fills(spark):
     got = [r.ewm for r in frames.ewm_mean(df, "k", "o", "v", 0.5).orderBy("o").collect()]
     want = pd.Series([None, 1.0, None, 3.0, None]).ewm(alpha=0.5).mean().tolist()
     assert got[1:] == pytest.approx(want[1:]) and got[0] is None
+
+
+@pytest.mark.parametrize("k", [1, 10, 100, 100_000])
+def test_top_pairs(spark, k):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(25)]
+    made = lambda n: [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(n)]
+    s, r = made(60) + [(60, None), (61, ""), (62, "w1 w2 w3"), (63, "w1 w2 w3")], made(50) + [(50, "W1, w2 w3!"), (51, "w3 w2 w1"), (52, None)]
+    forms = {}
+    for name, rows in (("s", s), ("r", r)):
+        df = spark.createDataFrame(rows, "id long, q string").select("id", F.coalesce(T.normalise_question(F.col("q")), F.lit("")).alias("n"), T.tokens(F.col("q")).alias("t"))
+        forms[name] = [(x.id, x.n, set(x.t or [])) for x in df.withColumn("g", T.char_ngrams(F.col("n"))).collect()], {x.id: set(x.g or []) for x in df.withColumn("g", T.char_ngrams(F.col("n"))).collect()}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    every = []
+    for i, n, t in forms["s"][0]:
+        for j, m, u in forms["r"][0]:
+            if t & u and n != m:
+                every.append((-share(t, u), -share(forms["s"][1][i], forms["r"][1][j]), i, j))
+    df = lambda rows: spark.createDataFrame(rows, "id long, question string")
+    got = [(-x.jaccard, -x.ngram, x.s_id, x.r_id) for x in overlap.top_pairs(df(s), df(r), k).collect()]
+    want = sorted(every)[:k]
+    assert [(round(a, 9), round(b, 9), i, j) for a, b, i, j in got] == [(round(a, 9), round(b, 9), i, j) for a, b, i, j in want]
