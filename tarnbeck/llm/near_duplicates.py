@@ -35,8 +35,8 @@ from .common import components, lean, mix, shingle_sets, slices, small, table, w
 WORDS, SHARE = 5, 75
 #: Members up to which all pairs of a group are written down, and members of one chunk of a larger group.
 SMALL, CHUNK = 16, 512
-#: Orders that pick a group's centre, and members that meet as one block.
-CENTRES, BLOCK = 8, 1024
+#: Orders that pick a group's centre, and members, and bytes of sets, that meet as one block.
+CENTRES, BLOCK, BLOCK_BYTES = 8, 1024, 8 << 20
 #: Documents for each salt of a frequent key.
 SALT_DOCS = 1_000_000
 #: Shingles in a batch that is searched for repeated ones, and the repeats from which a shingle is frequent.
@@ -325,20 +325,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def across(groups: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs within a group (head, node) that lie in different components and that their sketches allow.
+    """(a, b): links within a group (head, node) between members of different components, enough to connect what is linked.
 
     A group's members are dealt into blocks, and every two blocks meet in one task: memory is bounded by a block, and pairs
-    are tested as bit matrices; only those that may be linked are written.
+    are tested as bit matrices of sketches. A task writes the members that have an allowed pair, not the pairs. Those meet
+    again with their sets, by pair of blocks; pairs not yet connected are verified, and the links that connect are written.
+    So rows grow with members times blocks, whatever share of a family falls just short of the threshold.
     """
     each = groups.join(named, "node", "left").select("head", "node", F.coalesce("component", "node").alias("component"))
-    size = each.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("head", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    rest = each.join(size, "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sized = each.join(sets.select("node", "n"), "node").groupBy("head")
+    size = sized.agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), (F.sum("n") * 8).alias("bytes")).where("lo <> hi")
+    size = size.select("head", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    # a table of its own: a head's members can then be split
+    rest = each.join(small(written(size, "group-sizes"), BROADCAST_ROWS), "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rest = rest.join(sets.select("node", "n", "sketch"), "node")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     met = rest.select("head", "node", "component", "n", "sketch", "block", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
-    def run(table: pa.Table) -> pa.Table:
-        node, comp, n, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "block"))
+    def allowed(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row those after it that its sketch allows, of the other block and in another component."""
+        comp, n, block = (table.column(c).to_numpy() for c in ("component", "n", "block"))
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         raw = table.column("sketch").to_pylist()
         width = min(map(len, raw))
@@ -350,18 +356,44 @@ def across(groups: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
             bits[i] = v
         bits = bits.view(np.uint64)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        out_a, out_b = [], []
         for i in left:
             j = right[right > i] if x == y else right
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= SHARE * np.maximum(n[j], n[i]))]
             if len(j):
                 differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 j = j[differ * (100 + SHARE) <= (100 - SHARE) * (n[j] + n[i])]
-                out_a.append(np.minimum(node[j], node[i])), out_b.append(np.maximum(node[j], node[i]))
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(out_a)), "b": pa.array(cat(out_b))})
-
-    return met.groupBy("head", "x", "y").applyInArrow(run, "a long, b long").distinct()
+                if len(j):
+                    yield i, j
+
+    def near(table: pa.Table) -> pa.Table:
+        hit = np.zeros(table.num_rows, bool)
+        for i, j in allowed(table):
+            hit[i] = hit[j] = True
+        return table.select(["head", "x", "y", "node", "component", "block"]).filter(pa.array(hit))
+
+    def connecting(table: pa.Table) -> pa.Table:
+        node, held = table.column("node").to_numpy(), table.column("elements").combine_chunks()
+        root = {c: c for c in table.column("component").to_pylist()}
+        comp = table.column("component").to_pylist()
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        elements = lambda i: np.frombuffer(held[int(i)].as_buffer(), np.uint64)
+        out = []
+        for i, js in allowed(table):
+            for j in js.tolist():
+                if top(comp[i]) != top(comp[j]) and linked(elements(i), elements(j)):
+                    root[top(comp[j])] = top(comp[i])
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    close = met.groupBy("head", "x", "y").applyInArrow(near, "head long, x long, y long, node long, component long, block long")
+    close = written(close, "close-members")
+    again = close.join(sets.select("node", "n", "sketch", "elements"), "node")
+    return again.groupBy("head", "x", "y").applyInArrow(connecting, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -394,8 +426,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "named")
     side = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    second = apart.unionByName(across(groups, named, sets)).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(written(second, "second"), sets)
+    more = written(verified(written(apart.join(first, ["a", "b"], "left_anti"), "second"), sets).unionByName(across(groups, named, sets)).distinct(), "more")
     if not more.isEmpty():
         named = written(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "named")
     each = written(sizes.join(named, "node", "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "node").alias("name")), "each")

@@ -124,3 +124,28 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (None, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_rows_of_a_family_just_below_the_threshold(spark, monkeypatch):
+    """Texts that share 86 of 101 shingles (0.741, no link) write rows in proportion to their number, not to its square."""
+    seen = {}
+    kept = N.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    rows = {}
+    for n in (150, 300):
+        seen.clear()
+        base = " ".join(f"b{i}" for i in range(90))
+        texts = [(k, base + " " + " ".join(f"u{k}x{i}" for i in range(15))) for k in range(n)]
+        got = N.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert all(r.component_id == r.doc_id and r.n_shingles == 101 for r in got)
+        assert seen["more"] == 0
+        # a key that fewer than SMALL share gives pairs, of which a member has a bounded number; a larger group gives members
+        rows[n] = seen["second"], seen["close-members"]
+    print(rows)
+    assert rows[300][0] <= 3 * max(rows[150][0], 300) and rows[300][1] <= 3 * max(rows[150][1], 300)
