@@ -19,6 +19,8 @@ from tarnbeck.operators.staging import local_name, shared_path, shared_root, sma
 
 #: Bytes of text that an operator works on at a time, unless one text has more.
 SLICE_BYTES = 8 << 20
+#: Rows of an Arrow batch at most.
+ARROW_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +65,14 @@ def _store(uri: str):
 
 
 def lean(run):
-    """run, a function from batches to batches, that gives freed memory back when a task ends: workers live on between tasks."""
+    """run, a function from batches to batches, that gives freed memory back when a task ends: workers live on between tasks.
+
+    Sets the session's Arrow batches to ARROW_ROWS rows at most: a batch of texts is held by the JVM and by the worker, and of
+    ten thousand rows it is tens of megabytes on either side.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and not 0 < int(session.conf.get(_BATCH)) <= ARROW_ROWS:
+        session.conf.set(_BATCH, ARROW_ROWS)
 
     def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
