@@ -153,7 +153,8 @@ def with_spans(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSU
     value = F.transform(F.col("spans"), lambda s: F.xxhash64(s["kind"], s["value"]))
     # a text and its spans depend on nothing else, so rows of equal texts have the same terms
     row = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(F.coalesce(F.col(text), F.lit(""))))
-    src = docs.select(*rest, base_spans(F.col(text)).alias("spans"))
+    # the patterns run once; their spans are read with the texts by all that follows
+    src = written(docs.select(*rest, base_spans(F.col(text)).alias("spans")), "marked")
     found = written(src.where(F.size("spans") > 0).select(row.alias("row"), F.array_distinct(value).alias("entities"), F.col(text).alias("text")), "personal")
     # (row, __terms)
     told = written(disclosing(found, docs.select(F.col(text).alias("text")), "text", disclosure), "disclosing")
@@ -165,6 +166,21 @@ def with_spans(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSU
     return out.select(*rest, F.concat("spans", extra).alias("spans"))
 
 
+def removed(marked: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, documents, spans, characters, share): what the spans of with_spans() take from the texts, by kind.
+
+    share is that of all characters; characters that two kinds hold count for both. Kinds without spans have no row.
+    """
+    total = marked.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("total"))
+    each = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), (s["stop"] - s["start"]).alias("n")))
+    kinds = F.array_distinct(F.transform("spans", lambda s: s["kind"]))
+    rows = marked.select(F.explode(kinds).alias("kind"), each.alias("each"))
+    own = F.filter("each", lambda s: s["kind"] == F.col("kind"))
+    sums = rows.select("kind", F.size(own).alias("spans"), F.aggregate(own, F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("characters"))
+    by_kind = sums.groupBy("kind").agg(F.count(F.lit(1)).alias("documents"), F.sum("spans").alias("spans"), F.sum("characters").alias("characters"))
+    return by_kind.withColumn("share", F.try_divide("characters", F.lit(total.first()[0])))
+
+
 def outside(base: Column, terms_: Column) -> Column:
     """Those term spans, by place, that lie in no base span: none that begins before or with them reaches their end."""
     tagged = lambda spans, n: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("term"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))

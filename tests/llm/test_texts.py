@@ -337,3 +337,12 @@ def test_a_text_of_very_many_spans(spark):
     text = " ".join(f"a{i}@b.example and" for i in range(n))
     r = P.sanitised(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).where("doc_id = 1").first()
     assert len(r.spans) == n and r.text == " ".join(["[EMAIL] and"] * n)
+
+
+def test_removed(spark):
+    rows = [(1, "mail a@b.example and +49 30 1234567 or c@d.example"), (2, "nothing"), (3, None), (4, "x@y.example")]
+    marked = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", P.base_spans(F.col("text")))
+    got = {r.kind: (r.documents, r.spans, r.characters, round(r.share, 9)) for r in P.removed(marked).collect()}
+    total = sum(len(t or "") for _, t in rows)
+    assert got == {"email": (2, 3, 33, round(33 / total, 9)), "phone": (1, 1, 14, round(14 / total, 9))}
+    assert P.removed(marked.limit(0)).collect() == []
