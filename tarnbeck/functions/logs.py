@@ -28,9 +28,12 @@ def serve_merges(log: Column) -> Column:
 
 def _last_by_model(log: Column, pattern: str, value) -> Column:
     part = lambda i: F.regexp_extract_all(text(log), F.lit(pattern), F.lit(i))
-    rows = F.reverse(F.arrays_zip(part(1).alias("m"), part(2).alias("a"), part(3).alias("b")))
-    first = F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x["m"]), r["m"]) == i + 1)
-    return F.map_from_entries(F.transform(first, lambda r: F.struct(r["m"], value(r["a"], r["b"]))))
+    rows = F.arrays_zip(part(1).alias("m"), part(2).alias("a"), part(3).alias("b"))
+    # sorted by model and place, a model's last line stands before another model's first
+    ordered = F.array_sort(F.transform(rows, lambda r, i: F.struct(r["m"].alias("m"), i.alias("i"), r["a"].alias("a"), r["b"].alias("b"))))
+    last = lambda all_: F.filter(all_, lambda r, i: F.coalesce(F.get(all_, i + 1)["m"] != r["m"], F.lit(True)))
+    kept = F.flatten(F.transform(F.array(ordered), last))  # held in a lambda's variable, the sort is done once
+    return F.map_from_entries(F.transform(kept, lambda r: F.struct(r["m"], value(r["a"], r["b"]))))
 
 
 def measurements(record: Column) -> Column:

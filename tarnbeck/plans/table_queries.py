@@ -60,7 +60,7 @@ def regrade_flips(spark, d):
 
 
 def profile_columns(spark, d):
-    return profile.columns_profile(read(spark, d, "orders").drop("o_totalprice", "o_orderdate"))
+    return profile.columns_profile(read(spark, d, "orders"))
 
 
 def profile_words(spark, d):
@@ -326,7 +326,7 @@ ORACLE = {
         SELECT p_partkey, pos, mode, value, CASE WHEN mode = 'numeric' THEN round(least(greatest(pow(10, -(CASE WHEN contains(value, '.') THEN length(split_part(value, '.', 2)) ELSE 0 END + 1)), 1e-4), 0.05), 6) ELSE 0.0 END AS tol, CASE mode WHEN 'numeric' THEN 'numeric' WHEN 'exact_short' THEN 'label' WHEN 'exact_bool' THEN 'bool' ELSE 'unknown' END AS kind FROM v""",
     "grade_numeric": "SELECT count(*)::DOUBLE AS same, count(*) FILTER (abs(floor(l_extendedprice) - l_extendedprice) <= 0.5) AS near, count(*) AS n FROM lineitem",
     "regrade_flips": "WITH o AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'ANSWER: ' ELSE '' END || o_orderstatus AS p, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE o_orderstatus END AS a FROM orders), g AS (SELECT o_orderpriority, (lower(p) = lower(a))::INT::DOUBLE AS s, (lower(replace(p, 'ANSWER: ', '')) = lower(a))::INT::DOUBLE AS t FROM o) SELECT o_orderpriority, sum(s) AS strict, sum(t) AS stripped, count(*) FILTER (s <> t) AS flips FROM g GROUP BY 1",
-    "profile_columns": " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS kind, count(*) AS total, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "distinct", max(length(CAST({c} AS VARCHAR)))::INT AS longest FROM orders""" for c, k in (("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "text"), ("o_orderpriority", "text"))),
+    "profile_columns": " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS kind, count(*) AS total, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "distinct", max(length(CAST({c} AS VARCHAR)))::INT AS longest FROM orders""" for c, k in (("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "text"), ("o_orderpriority", "text"), ("o_totalprice", "numeric"), ("o_orderdate", "datetime"))),
     "decile_shape": f"""WITH {DECILE.format(n='a', c='l_quantity', t='lineitem')}, {DECILE.format(n='b', c='p_size', t='part')}, u AS (SELECT * FROM aw UNION ALL SELECT * FROM bw) SELECT *, CASE WHEN widest > 0.5 THEN 'almost all its values in one band' WHEN widest < 0.25 THEN 'spread evenly across its range' ELSE 'spread across its range, heaviest in one band' END AS shape FROM u""",
     "algebra_mean": "SELECT round(avg(l_quantity), 4) AS value FROM lineitem",
     "algebra_median": "SELECT round(median(o_totalprice), 4) AS value FROM orders",

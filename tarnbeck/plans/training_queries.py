@@ -175,8 +175,9 @@ def valid_hints(spark, d):
 
 
 def aligned_exports(spark, d):
-    e = events(spark, d).select("event_id", "event_type")
-    return r6(lineage.aligned(e, e.withColumn("event_type", F.when(F.col("event_type") == "error", "view").otherwise(F.col("event_type"))), "event_id", "event_type"), "share")
+    """The first and the second line of each order, side by side."""
+    line = lambda n: read(spark, d, "lineitem").where(F.col("l_linenumber") == n).select("l_orderkey", "l_returnflag")
+    return r6(lineage.aligned(line(1), line(2), "l_orderkey", "l_returnflag"), "share")
 
 
 def common_tasks(spark, d):
@@ -206,18 +207,25 @@ def counted_sets(spark, d):
     return costs.counted_sets(read(spark, d, "documents").select("lang", F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tokens")), "lang", "tokens", 500)
 
 
+def _session(spark, d):
+    """(arms, training): sources as arms, large ones gated, and languages as training runs."""
+    docs = read(spark, d, "documents")
+    arms = docs.groupBy(F.col("source").alias("arm")).agg((F.count("*") > 60).alias("gated"))
+    tokens = docs.groupBy(F.col("lang").alias("arm")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("tokens"))
+    return arms, tokens.withColumn("tokens_per_second", F.lit(costs.ASSUMED_TOKENS_A_SECOND))
+
+
 def session_projection(spark, d):
-    arms = read(spark, d, "region").select(F.col("r_name").alias("arm"), (F.col("r_regionkey") < 2).alias("gated"))
+    arms, training = _session(spark, d)
     ev = costs.evaluation(arms, costs.ASSUMED_TRIALS_A_MINUTE, 250, 1, 1, trials.RUNGS, 60)
-    training = read(spark, d, "documents").groupBy(F.col("lang").alias("arm")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("tokens")).withColumn("tokens_per_second", F.lit(costs.ASSUMED_TOKENS_A_SECOND))
     rows = costs.projection([("boot", 120.0, "estimate"), ("bootstrap", 720.0, "measured")], training, ev, spark, 2.0)
     return r6(rows.select("stage", "seconds", "dollars"), "seconds", "dollars")
 
 
 def session_range(spark, d):
-    arms = read(spark, d, "region").select(F.col("r_name").alias("arm"), (F.col("r_regionkey") < 2).alias("gated"))
-    rows = costs.projection([("boot", 900.0, "estimate")], spark.createDataFrame([("a", 9_000_000, 4600.0)], "arm string, tokens long, tokens_per_second double"), costs.evaluation(arms, 20.0, 250, 1, 1, trials.RUNGS, 60), spark, 2.0)
-    return r6(costs.evaluation_range(rows).crossJoin(costs.deadline_minutes(rows, 1000.0, 2.0)), "total", "low", "high")
+    arms, training = _session(spark, d)
+    rows = costs.projection([("boot", 900.0, "estimate")], training, costs.evaluation(arms, 20.0, 250, 1, 1, trials.RUNGS, 60), spark, 2.0)
+    return r6(costs.evaluation_range(rows).crossJoin(costs.deadline_minutes(rows, 100_000.0, 2.0)), "total", "low", "high")
 
 
 def machine_dollars(spark, d):
@@ -298,7 +306,7 @@ _CMD = "[" + ", ".join(f"'{_Q(c)}'" for c in COMMANDS) + "]"
 CHAT = f"""a AS (SELECT *, length(coalesce(text, '')) % 4 AS kind, role = 'user' AND coalesce(lag(role) OVER w, '') = 'assistant' AS is_tool, lag(length(coalesce(text, '')) % 4) OVER w AS before, lead(role) OVER w AS nxt, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 b AS (SELECT *, ({_CMD})[kind + 1] AS command, CASE WHEN nxt = 'user' THEN CASE WHEN kind = 1 THEN '{C.EMPTY}' ELSE reply END END AS output FROM a)"""
 LEAK = f"(regexp_matches(output, '(?i)/(home|Users)/[^u]') OR contains(output, '/var/tmp/') OR contains(output, '/tmp/smol') OR contains(output, 'kaggle/datasets') OR regexp_matches(output, '{_Q(T.SECRET)}'))"
-ARMS = "n AS (SELECT count(*) AS arms, count(*) FILTER (r_regionkey < 2) AS gated FROM region)"
+ARMS = "a AS (SELECT source AS arm, count(*) > 60 AS gated FROM documents GROUP BY source), n AS (SELECT count(*) AS arms, count(*) FILTER (gated) AS gated FROM a)"
 
 
 def _eval(rate: float) -> str:
@@ -334,14 +342,14 @@ ORACLE = {
     "promoted_attempts": f"WITH {TRIALS} SELECT task, min(event_id) AS event_id, arg_min(rung, event_id) AS rung FROM t WHERE finished AND passed GROUP BY task",
     "side_records": f"WITH {TRIALS} SELECT rung, count(*) AS checked, 0::BIGINT AS recovered, count(*) FILTER (finished AND passed <> (sample > 5)) AS changed, count(*) FILTER (NOT finished) AS failed, sum(CASE WHEN sample > 5 THEN 3 ELSE 1 END)::BIGINT AS attempts FROM t WHERE prediction = 1 GROUP BY rung",
     "valid_hints": "SELECT count(*) AS tasks, count(*) FILTER (toxic <> 1 AND quality <> 0) AS hints, count(*) FILTER (toxic IS NULL OR toxic = 1) AS to_generate FROM documents LEFT JOIN labels USING (doc_id)",
-    "aligned_exports": "SELECT count(*) AS both, count(*) FILTER (event_type <> 'error') AS same, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS share, count(*) FILTER (event_type <> 'error') / count(*) >= 0.99 AS accepted FROM events",
+    "aligned_exports": "WITH j AS (SELECT a.l_returnflag AS x, b.l_returnflag AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2) SELECT count(*) AS both, count(*) FILTER (x = y) AS same, round(count(*) FILTER (x = y) / count(*), 6) AS share, count(*) FILTER (x = y) / count(*) >= 0.99 AS accepted FROM j",
     "common_tasks": f"WITH {TRIALS} SELECT task FROM t WHERE sample IN (1, 2, 3) AND task NOT IN (SELECT task FROM t WHERE rung = 'L1' AND sample = 9) GROUP BY task HAVING count(DISTINCT sample) = 3",
     "reclaimed": f"WITH g AS (SELECT user_id, max(epoch_us(ts) / 1000000.0) AS start, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id) SELECT user_id FROM g WHERE (last = 'error' OR user_id NOT IN (SELECT user_id FROM events WHERE value > 50)) AND {NOW} - start >= CASE WHEN last = 'error' THEN 900 ELSE 120 END",
     "model_blockers": """WITH g AS (SELECT user_id, arg_max(event_type <> 'error', event_id) AS differs, arg_max(value > 5, event_id) AS calls_ok, arg_max(floor(value), event_id) FILTER (value > 2) AS tensors FROM events GROUP BY user_id)
         SELECT CASE WHEN tensors IS NULL THEN 'no merge report' WHEN tensors = 0 THEN 'merge changed nothing' WHEN NOT differs THEN 'answers as the base does' WHEN NOT calls_ok THEN 'no tool call came back' ELSE 'ready' END AS reason, count(*) AS n FROM g GROUP BY 1""",
     "counted_sets": "WITH t AS (SELECT lang, ceil(length(coalesce(text, '')) / 4)::BIGINT AS n FROM documents), g AS (SELECT lang, count(*) AS rows, sum(n)::BIGINT AS raw, sum(least(n, 500))::BIGINT AS kept FROM t GROUP BY lang) SELECT * FROM g UNION ALL SELECT string_agg(lang, '+' ORDER BY lang), sum(rows)::BIGINT, sum(raw)::BIGINT, sum(kept)::BIGINT FROM g",
     "session_projection": f"WITH {ARMS}, r AS (SELECT 'boot' AS stage, 120.0::DOUBLE AS seconds UNION ALL SELECT 'bootstrap', 720.0 UNION ALL SELECT 'train ' || lang, sum(length(coalesce(text, ''))) / 4600.0 * 1.15 + 150 FROM documents GROUP BY lang UNION ALL {_eval(22.0)}) SELECT stage, round(seconds::DOUBLE, 6) AS seconds, round(seconds::DOUBLE / 3600 * 2, 6) AS dollars FROM r",
-    "session_range": f"WITH {ARMS}, e AS ({_eval(20.0)}), s AS (SELECT sum(seconds)::DOUBLE AS ev, 900 + 9000000 / 4600.0::DOUBLE * 1.15 + 150 AS rest FROM e) SELECT round((ev + rest) / 1800, 6) AS total, round((ev * 0.7 + rest) / 1800, 6) AS low, round((ev * 1.3 + rest) / 1800, 6) AS high, ceil(least(30000, (ev + rest) * 1.25 / 60 + 15))::BIGINT AS minutes FROM s",
+    "session_range": f"WITH {ARMS}, e AS ({_eval(20.0)}), t AS (SELECT sum(length(coalesce(text, ''))) / 4600.0 * 1.15 + 150 AS s FROM documents GROUP BY lang), s AS (SELECT sum(seconds)::DOUBLE AS ev, 900 + (SELECT sum(s) FROM t)::DOUBLE AS rest FROM e) SELECT round((ev + rest) / 1800, 6) AS total, round((ev * 0.7 + rest) / 1800, 6) AS low, round((ev * 1.3 + rest) / 1800, 6) AS high, ceil(least(3000000, (ev + rest) * 1.25 / 60 + 15))::BIGINT AS minutes FROM s",
     "machine_dollars": f"SELECT round(sum(greatest(0, {NOW} - epoch(date_trunc('second', ts))) / 3600 * CASE WHEN value > 10 THEN value ELSE 3.0 END) FILTER (event_type <> 'error'), 6) AS dollars FROM events",
     "judged_criteria": "WITH j AS (SELECT lang, quality, toxic FROM labels JOIN documents USING (doc_id)), e AS (SELECT lang, 'quality' AS criterion, quality AS y FROM j UNION ALL SELECT lang, 'toxic', toxic FROM j) SELECT lang, criterion, count(*) FILTER (y = 1) AS yes, count(y) AS n, round(avg(y), 6) AS rate FROM e GROUP BY ALL",
     "verdict_flips": "WITH g AS (SELECT o_orderpriority, o_orderstatus = 'F' AS a, o_totalprice > 100000 AS b FROM orders) SELECT o_orderpriority, count(*) AS rows, count(*) FILTER (a) AS strict, count(*) FILTER (b) AS other, count(*) FILTER (b AND NOT a) AS gained, count(*) FILTER (a AND NOT b) AS lost FROM g GROUP BY 1",
