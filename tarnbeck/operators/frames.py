@@ -129,3 +129,48 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, sto
     p = points.withColumn("__cell", F.floor(F.col(point) / width))
     r = ranges.where(F.col(stop) > F.col(start)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
     return p.join(r, "__cell").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(stop))).drop("__cell")
+
+
+def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """A value within bounds; nulls stay."""
+    c = F.when(c < low, F.lit(low)).otherwise(c) if low is not None else c
+    return F.when(c > high, F.lit(high)).otherwise(c) if high is not None else c
+
+
+def mask(c: Column, hidden: Column, other: Column | None = None) -> Column:
+    """The value, or other (null) where hidden is true."""
+    return F.when(F.coalesce(hidden, F.lit(False)), F.lit(None) if other is None else other).otherwise(c)
+
+
+def replaced(c: Column, values: dict) -> Column:
+    """A value's replacement; values without one, and nulls, stay."""
+    out = c
+    for old, new in values.items():
+        out = F.when(c == old, F.lit(new)).otherwise(out)
+    return out
+
+
+def expanding(df: DataFrame, by: str, order: list[str], column: str) -> DataFrame:
+    """df with cum_prod, cum_min and expanding_mean of a column within its key, nulls left out."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col(column)
+    return df.withColumns({"cum_prod": F.product(c).over(w), "cum_min": F.min(c).over(w), "expanding_mean": F.avg(c).over(w)})
+
+
+def unstack(df: DataFrame, keys: list[str], level: str, column: str, values: list[str]) -> DataFrame:
+    """A column for each stated value of a level; null where there is no row."""
+    return df.groupBy(*keys).pivot(level, values).agg(F.first(column))
+
+
+def stack(df: DataFrame, keys: list[str], columns: list[str], level: str, column: str) -> DataFrame:
+    """A row for each key and column that holds a value."""
+    return df.unpivot(keys, columns, level, column).where(F.col(column).isNotNull())
+
+
+def seconds_of(c: Column) -> Column:
+    """Seconds of a duration such as `-1 days 02:03:04.5` or `02:03`; null for anything else. The sign holds for all of it."""
+    pattern = r"^\s*(-?)(?:(\d+)\s+days?\s*)?(?:(\d+):(\d\d)(?::(\d\d(?:\.\d+)?))?)?\s*$"
+    part = lambda i: F.coalesce(F.regexp_extract(c, pattern, i).try_cast("double"), F.lit(0.0))
+    total = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
+    fits = c.rlike(pattern) & c.rlike(r"\d")
+    return F.when(fits, F.when(F.regexp_extract(c, pattern, 1) == "-", -total).otherwise(total))
