@@ -78,13 +78,18 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return ran
 
 
+def trim() -> None:
+    """Gives freed memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int | str, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows and, unless it is one row, so many bytes in the column `text`; nulls have none."""
     for whole in batches:

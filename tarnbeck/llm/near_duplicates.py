@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lean, mix, shingle_sets, slices, small, table, written
+from .common import components, lean, mix, shingle_sets, slices, small, table, trim, written
 
 WORDS, SHARE = 5, 75
 #: Members up to which all pairs of a group are written down, and members of one chunk of a larger group.
@@ -369,6 +369,7 @@ def across(groups: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
         hit = np.zeros(table.num_rows, bool)
         for i, j in allowed(table):
             hit[i] = hit[j] = True
+        trim()  # a worker takes one group after the other and lives on
         return table.select(["head", "x", "y", "node", "component", "block"]).filter(pa.array(hit))
 
     def connecting(table: pa.Table) -> pa.Table:
@@ -388,6 +389,7 @@ def across(groups: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
                 if top(comp[i]) != top(comp[j]) and linked(elements(i), elements(j)):
                     root[top(comp[j])] = top(comp[i])
                     out.append((min(node[i], node[j]), max(node[i], node[j])))
+        trim()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     close = met.groupBy("head", "x", "y").applyInArrow(near, "head long, x long, y long, node long, component long, block long")
