@@ -24,15 +24,18 @@ def kappa(agree: Column, a: Column, b: Column) -> Column:
     return F.when(agree.isNull() | (chance >= 1), 0.0).otherwise((agree - chance) / (1 - chance))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    """Sum of logarithms; k at most n."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.when(i <= k, F.ln((n - k + i).cast("double")) - F.ln(i.cast("double"))).otherwise(0.0))
-
-
 def sign_test(down: Column, up: Column) -> Column:
-    """Exact two-sided p of discordant pairs, null if there are none."""
-    n, k = (down + up).cast("long"), F.least(down, up).cast("long")
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda a, i: a + F.exp(log_choose(n, i) - n * F.lit(float(np.log(2)))))
+    """Exact two-sided p of discordant pairs, null if there are none.
+
+    Every term of the binomial tail follows from its neighbour, from the middle of the distribution down, so the work grows
+    with the pairs; nothing leaves the range 0 to 1, so large numbers of pairs lose no digits.
+    """
+    n, k, one = (down + up).cast("long"), F.least(down, up).cast("long"), F.lit(1).cast("long")
+    # choose(n, n // 2) / 2**n: the share of the middle
+    middle = F.aggregate(F.sequence(one, F.greatest(F.floor((n + 1) / 2), one)), F.lit(1.0), lambda a, j: a * (2 * j - 1) / (2 * j))
+    start = F.struct(middle.alias("term"), F.lit(0.0).alias("total"))
+    step = lambda a, i: F.struct((a["term"] * i / (n - i + 1)).alias("term"), (a["total"] + F.when(i <= k, a["term"]).otherwise(0.0)).alias("total"))
+    tail = F.aggregate(F.sequence(F.floor(n / 2), F.lit(0).cast("long")), start, step, lambda a: a["total"])
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 

@@ -1,3 +1,8 @@
+import math
+import time
+from fractions import Fraction
+from itertools import accumulate
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +107,17 @@ def test_sign_test(spark):
     assert [round(g, 3) for g in got[:3]] == [0.014, 0.327, 0.021] and got[3] is None
 
 
+def test_sign_test_of_many_pairs(spark):
+    """Time in proportion to the pairs: with each term's logarithms summed from the start, each of the two rows of 100,000 would take 5 * 10**9 steps."""
+    rows = [(99_800, 100_200), (100_000, 100_000), (6_001, 6_000), (7_050, 7_550), (0, 150_000), (1, 0), (2, 1)]
+    began = time.time()
+    got = [g[0] for g in one(spark, rows, "d long, u long", stats.sign_test(F.col("d"), F.col("u")))]
+    assert time.time() - began < 100
+    log_tail = lambda n, k: (math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))
+    assert got[:2] == [pytest.approx(min(1.0, 2 * sum(log_tail(d + u, min(d, u)))), rel=1e-6) for d, u in rows[:2]]
+    assert got[2:] == [pytest.approx(float(min(1, Fraction(2 * sum(accumulate(range(min(d, u)), lambda c, i: c * (d + u - i) // (i + 1), initial=1)), 2 ** (d + u)))), rel=1e-11, abs=1e-300) for d, u in rows[2:]]
+
+
 def test_nearest_ranks_equal_the_gathered_form(spark):
     rows = [("a", float(i % 7)) for i in range(50)] + [("b", 1.0), ("c", None)]
     df = spark.createDataFrame(rows, "k string, v double")
