@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tarnbeck.llm import decontamination, near_duplicates, personal_data, piece_codec, toxicity
 from tarnbeck.llm.common import table, written
 
+#: Segments in each half of a worker's table in the last stage: the executor's heap is full by then, so workers get less than alone.
+SEGMENTS = 50_000
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that score above 0.5 go; all stay without labels of both classes, and those without words do."""
@@ -46,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: ids of each document and the text that they decode to, in place of the text."""
     import public_tokenizers
 
-    return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), size=SEGMENTS)
 
 
 STAGES = [

@@ -3,7 +3,7 @@
 An agenda holds every adjacent pair of symbols whose join is a piece, ordered by the piece's score and then by place; the
 best pair is merged, its neighbours form new pairs, stale entries are passed over. Symbols that are no piece fall back to
 their bytes. A text falls apart where no piece of the vocabulary could ever join two neighbouring characters, so segments
-are encoded once and remembered in a table of bounded size. In every Arrow batch, all parts with a segment that was new to the
+are encoded once and remembered in a table of bounded size, of which the half last used outlives the other. In every Arrow batch, all parts with a segment that was new to the
 table are encoded by the sentencepiece library as well, and a difference raises; a part that no space leads is checked where it
 follows a line end.
 
@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from .common import lean, slices, table
 
-#: Segments that the table of one Python worker holds before it starts anew.
-TABLE_SIZE = 800_000
+#: Segments that each of the two halves of one Python worker's table holds, beside those of the last slice of a batch: about
+#: 200 bytes each. Fewer take less memory and more time, as rarer segments are encoded again.
+TABLE_SIZE = 400_000
 _PART = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -49,6 +50,8 @@ class PieceCodec(dict):
         if any("\n" in p or re.search("[^▁]▁", p) for p in self.id):
             raise ValueError("pieces with inner spaces or line ends are not supported")
         self.joins = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        #: The older half: a segment found there moves to the newer one, which is this dict.
+        self.old: dict[str, bytes] = {}
         self.size, self.new = size, []
 
     def agenda(self, part: str) -> list[int]:
@@ -88,11 +91,15 @@ class PieceCodec(dict):
         return ids
 
     def __missing__(self, part: str) -> bytes:
+        ids = self.old.pop(part, None)
+        if ids is not None:
+            self[part] = ids
+            return ids
         text, joins = part.replace(" ", "▁"), self.joins
         cut = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joins]
         if cut:
             pieces = [part[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)]
-            fresh = any(p not in self for p in pieces)
+            fresh = any(p not in self and p not in self.old for p in pieces)
             ids = b"".join([self.segment(p) for p in pieces])
         else:
             ids, fresh = self.segment(part), True
@@ -106,7 +113,9 @@ class PieceCodec(dict):
         """The ids of a part that no join crosses the ends of; checked with the part that it belongs to."""
         ids = self.get(part)
         if ids is None:
-            ids = array("i", self.agenda(part.replace(" ", "▁"))).tobytes()
+            ids = self.old.pop(part, None)
+            if ids is None:
+                ids = array("i", self.agenda(part.replace(" ", "▁"))).tobytes()
             if len(part) <= 64:
                 self[part] = ids
         return ids
@@ -123,23 +132,24 @@ class PieceCodec(dict):
                 raise AssertionError(f"agenda and library differ on {part!r}")
         self.new = []
         if len(self) > self.size:
+            self.old = dict(self)
             self.clear()
 
 
 @lru_cache(2)
-def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+def codec(path: str, size: int) -> PieceCodec:
+    return PieceCodec(path, size)
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, text: str = "text", size: int = TABLE_SIZE) -> DataFrame:
     """docs with ids array<int> and decoded string, the library's decode(ids), in place of the text."""
     rest = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     src = docs.select(*rest, F.col(text).alias("decoded"))
     schema = T.StructType([*src.select(*rest).schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in slices(batches, "decoded", 500):
+        c = codec(path, size)
+        for b in slices(batches, "decoded", 100):
             ids = [np.frombuffer(c.encode(t or ""), np.int32) for t in b.column("decoded").to_pylist()]
             c.check()
             ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)

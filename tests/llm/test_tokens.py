@@ -53,6 +53,19 @@ def test_a_difference_from_the_library_raises():
         c.check()
 
 
+def test_a_small_table_keeps_frequent_segments(monkeypatch):
+    c, done = piece_codec.PieceCodec(P.path("piece_bpe_32k.model"), 60), []
+    agenda = c.agenda
+    monkeypatch.setattr(c, "agenda", lambda part: done.append(part) or agenda(part))
+    most = 0
+    for i in range(60):
+        text = f"common words\n {' '.join(f'{chr(97 + j)}rare{i * 31 + j}' for j in range(20))} common"
+        assert list(memoryview(c.encode(text)).cast("i")) == c.library.encode(text)
+        c.check()
+        most = max(most, len(c) + len(c.old))
+    assert most < 300 and done.count("▁common") == 1 and done.count("▁words") == 1
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, encoding):
     import pyarrow.parquet as pq
