@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ def test_monotonicity_and_effect(few):
     assert (e.paired, e.rescued, e.hurt, e.mean_delta) == (2, 1, 1, -0.25)
 
 
+def test_effect_over_many_tasks(spark):
+    """50,000 tasks fall and 50,000 rise: the exact p takes time in proportion to them, not to their square."""
+    each = spark.range(100_000).select(F.concat(F.lit("t"), "id").alias("task"), F.explode(F.array(F.lit("L1"), F.lit("L2"))).alias("rung"), F.lit(True).alias("finished"), "id")
+    began = time.time()
+    e = trials.paired_effect(each.withColumn("passed", (F.col("id") % 2 == 0) == (F.col("rung") == "L1"))).first()
+    assert (e.paired, e.rescued, e.hurt, e.mean_delta, e.p) == (100_000, 50_000, 50_000, 0.0, 1.0) and time.time() - began < 100
+
+
 def test_overlay(spark):
     t = spark.createDataFrame([(1, "exit 0", "exit 1", 0.0), (2, "exit 0", None, 1.0), (3, "timeout", None, 1.0)], "task int, agent_status string, verify_status string, reward double")
     again = spark.createDataFrame([(1, "exit 0", 1.0)], "task int, new_status string, new_reward double")
