@@ -113,6 +113,19 @@ def number(c: Column) -> Column:
     return F.when(F.trim(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(c).try_cast("double"))
 
 
+def whole_number(c: Column, key: str) -> Column:
+    """The int at a key (letters) of a JSON object; null if there is none.
+
+    An object of this key alone with an int in plain digits is read without a parser, which costs a fraction of its time;
+    the parser gives the same for such texts and reads all others.
+    """
+    head = f'{{"{key}": '
+    digits = F.substring(c, F.lit(len(head) + 1), F.length(c) - len(head) - 1)
+    n = digits.try_cast("int")
+    plain = c.startswith(head) & c.endswith("}") & (n.cast("string") == digits)
+    return F.when(plain, n).otherwise(F.get_json_object(c, f"$.{key}").try_cast("int"))
+
+
 def answers_agree(a: Column, b: Column) -> Column:
     """Within 1e-9 as numbers, else equal in normal form."""
     x, y = number(a), number(b)

@@ -44,8 +44,8 @@ def rung_stats(trials: DataFrame, by: str = "rung") -> DataFrame:
 
 
 def by_rung(trials: DataFrame, rungs: tuple[str, ...] = RUNGS) -> DataFrame:
-    """(task, one column for each rung): fractions side by side."""
-    return fractions(trials).groupBy("task").pivot("rung", list(rungs)).agg(F.first("fraction"))
+    """(task, one column for each rung): fractions side by side, by one aggregate and one shuffle of a row a task."""
+    return trials.where("finished").groupBy("task").agg(*(F.avg(F.when(F.col("rung") == r, F.col("passed").cast("double"))).alias(r) for r in rungs))
 
 
 def monotonicity(trials: DataFrame, rungs: tuple[str, ...] = RUNGS) -> DataFrame:

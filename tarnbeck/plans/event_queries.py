@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbeck.functions import text as T
 from tarnbeck.functions.stats import percentile_bootstrap
 from tarnbeck.operators.ranks import nearest_ranks
 from tarnbeck.operators import conversations, frames, ledger, records, trials
@@ -19,7 +20,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def trial_rows(spark: SparkSession, d: str) -> DataFrame:
     """(task, rung, sample, prediction, finished, passed)."""
-    k = F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0))
+    k = F.coalesce(T.whole_number(F.col("props"), "k"), F.lit(0))
     return events(spark, d).select(
         F.col("user_id").alias("task"), F.concat(F.lit("L"), (1 + k % 4).cast("string")).alias("rung"), F.floor(k / 4).alias("sample"), (k % 3).alias("prediction"),
         (F.col("event_type") != "error").alias("finished"), F.col("event_type").isin("purchase", "click").alias("passed"), F.col("event_id"), (F.col("user_id") % 3 == 0).alias("has_reference"),

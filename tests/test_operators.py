@@ -40,6 +40,15 @@ def test_effect_over_many_tasks(spark):
     assert (e.paired, e.rescued, e.hurt, e.mean_delta, e.p) == (100_000, 50_000, 50_000, 0.0, 1.0) and time.time() - began < 100
 
 
+def test_rungs_side_by_side_in_one_shuffle(spark):
+    rows = [("a", "L1", True, True), ("a", "L1", True, False), ("a", "L2", False, True), ("b", "L3", True, True), ("b", None, True, True), (None, "L2", True, True), ("c", "L1", True, None), ("d", "L1", False, True)]
+    got = trials.by_rung(spark.createDataFrame(rows, TRIAL), ("L1", "L2"))
+    assert got.columns == ["task", "L1", "L2"] and {tuple(r) for r in got.collect()} == {("a", 0.5, None), ("b", None, None), (None, None, 1.0), ("c", None, None)}
+    each = spark.range(10).select(F.col("id").alias("task"), F.lit("L1").alias("rung"), F.lit(True).alias("finished"), F.lit(True).alias("passed"), F.rand().alias("x"))
+    plan = trials.paired_effect(each.repartition(3, "x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(task") == 1
+
+
 def test_overlay(spark):
     t = spark.createDataFrame([(1, "exit 0", "exit 1", 0.0), (2, "exit 0", None, 1.0), (3, "timeout", None, 1.0)], "task int, agent_status string, verify_status string, reward double")
     again = spark.createDataFrame([(1, "exit 0", 1.0)], "task int, new_status string, new_reward double")
